@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators.split_values import MISSING_MARKERS
+from citeloom.session import checkpointed
 
 CLOSERS = r"[\s\p{Z}]?[\"'”’»」』)\]“]*"
 CLOSED = rf"[.!?。！？।؟]{CLOSERS}$"
@@ -32,6 +33,8 @@ KEYWORDS = r"(?i)(?:^|[.!?。]\s+)(?:key ?words?|index terms|schlagwörter|stich
 UNMARKED = r"[\p{InThai}\p{InLao}\p{InKhmer}\p{InMyanmar}]"
 IDEOGRAM = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
+BLANKS = " \t\n\r\x0b\x0c\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 PRIOR_CUT = 0.3  # of a text without an end that is at no limit
 LACKING = 0.08  # share of whole texts without a closing mark
 WINDOW = 10  # a limit that respects words spreads the cuts over so many characters
@@ -94,15 +97,17 @@ def censoring(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _endings(df: DataFrame, column: str, record: str, source: str) -> DataFrame:
-    text = F.regexp_replace(F.col("_t"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    text = F.btrim(F.col("_t"), F.lit(BLANKS))
     d = df.select(F.col(record).alias("_rec"), F.col(source).alias("_s"), F.col(column).alias("_t")).where(F.col("_t").isNotNull() & ~F.col("_t").isin(*MISSING_MARKERS))
     d = d.select("_rec", F.when(F.col("_s").isNull() | F.col("_s").isin(*MISSING_MARKERS), "").otherwise(F.col("_s")).alias("source"), F.length("_t").alias("len"), text.alias("_t")).where("_t <> ''")
     t = F.col("_t")
-    tail = F.right(t, F.lit(200))
+    # all of these marks are within the last 40 characters; a plain full stop decides most texts at once
+    tail = F.right(t, F.lit(40))
     kind = (
-        F.when(tail.rlike(FORMULA), "closed")
+        F.when(F.endswith(t, F.lit(".")) & ~F.endswith(t, F.lit("...")), "closed")
+        .when(tail.rlike(FORMULA), "closed")
         .when(tail.rlike(OMITTED), "omitted")
-        .when(tail.rlike(CLOSED) | tail.rlike(UNMARKED + "$"), "closed")
+        .when(F.right(t, F.lit(8)).rlike(CLOSED) | F.right(t, F.lit(1)).rlike(UNMARKED), "closed")
         .when(tail.rlike(DANGLING), "dangling")
         .otherwise("open")
     )
@@ -115,6 +120,9 @@ def _spaced(text):
     return F.when(text.rlike(IDEOGRAM), F.regexp_replace(plain, rf"({IDEOGRAM})(?![。！？.!?])", "$1 ")).otherwise(plain)
 
 
+SPACE = r"[\s\p{Z}]+"
+
+
 def _word(c):
     return F.regexp_replace(c, rf"[.!?。！？।؟]{CLOSERS}$", "")
 
@@ -122,24 +130,25 @@ def _word(c):
 def truncated(df: DataFrame, column: str, record: str, source: str) -> DataFrame:
     """(record, source, len, kind, score): every text with the log-odds that its end was cut away; NULL score: whole for sure."""
     d = _endings(df, column, record, source)
-    tokens = F.split(_spaced(F.col("_t")), r"[\s\p{Z}]+")
-    # the last word of a text without an end may be a fragment and is no evidence
-    tokens = F.when(F.col("kind") == "closed", tokens).otherwise(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))))
-    last2 = F.slice(F.split(_spaced(F.right(F.col("_t"), F.lit(200))), r"[\s\p{Z}]+"), -2, 2)
-    open_rows = d.where("kind = 'open'").withColumn("last", last2).withColumn("word", F.element_at("last", -1)).withColumn("pair", F.concat_ws(" ", "last"))
-    open_rows = open_rows.withColumn("keywords", F.right(F.col("_t"), F.lit(400)).rlike(KEYWORDS)).select("_rec", "source", "len", "kind", "word", "pair", "keywords")
-
+    last2 = F.slice(F.split(_spaced(F.right(F.col("_t"), F.lit(200))), SPACE), -2, 2)
+    ends = d.select("_rec", "source", "len", "kind", F.when(F.col("kind") == "open", last2).alias("last"), ((F.col("kind") == "open") & F.right(F.col("_t"), F.lit(400)).rlike(KEYWORDS)).alias("keywords"))
+    ends = checkpointed(ends)
+    open_rows = ends.where("kind = 'open'").select("_rec", "source", "len", "kind", F.element_at("last", -1).alias("word"), F.concat_ws(" ", "last").alias("pair"), "keywords")
     tails = open_rows.groupBy("word").agg(F.count("*").alias("same_tail"))
 
-    # how often words and pairs of words end a sentence or stand inside one, over all texts; combined in each task before the shuffle
-    grams = d.select(tokens.alias("w")).select(F.explode(F.zip_with(F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))), "w", lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("g"))
-    g = grams.select(F.col("g.a").alias("a"), F.col("g.b").alias("b"), F.col("g.b").rlike(CLOSED).alias("final")).groupBy("a", "b", "final").agg(F.count("*").alias("n"))
+    # how often words and pairs of words end a sentence or stand inside one, over all texts; combined in each task before the
+    # shuffle. The last word of a text without an end may be a fragment and is no evidence.
+    tokens = F.split(_spaced(F.col("_t")), SPACE)
+    used = F.when(F.col("kind") == "closed", F.size("w")).otherwise(F.size("w") - 1)
+    grams = d.select("kind", tokens.alias("w")).select("w", F.posexplode(F.slice("w", 1, F.greatest(used, F.lit(0)))).alias("i", "b"))
+    g = grams.select(F.when(F.col("i") > 0, F.element_at("w", F.col("i"))).otherwise("").alias("a"), "b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    g = checkpointed(g.withColumn("final", F.col("b").rlike(CLOSED)))
     counts = g.select(F.concat_ws(" ", "a", _word(F.col("b"))).alias("pair"), _word(F.col("b")).alias("word"), F.when(F.col("final"), F.col("n")).otherwise(0).alias("nf"), F.when(F.col("final"), 0).otherwise(F.col("n")).alias("nm"))
     pairs = counts.groupBy("pair").agg(F.sum("nf").alias("pf"), F.sum("nm").alias("pm"))
     words = counts.groupBy("word").agg(F.sum("nf").alias("wf"), F.sum("nm").alias("wm"))
     total = words.agg(F.sum("wf").alias("tf"), F.sum("wm").alias("tm"))
 
-    hist = d.groupBy("source", "len").agg(F.count(F.when(F.col("kind") == "closed", 1)).alias("n_closed"), F.count(F.when(F.col("kind") != "closed", 1)).alias("n_open"))
+    hist = ends.groupBy("source", "len").agg(F.count(F.when(F.col("kind") == "closed", 1)).alias("n_closed"), F.count(F.when(F.col("kind") != "closed", 1)).alias("n_open"))
     limits = hist.groupBy("source").applyInPandas(censoring, "source string, len int, posterior double, mu double, sd double")
 
     scored = open_rows.join(pairs, "pair", "left").join(words, "word", "left").join(tails, "word", "left").join(limits, ["source", "len"], "left").join(F.broadcast(total))
@@ -154,7 +163,7 @@ def truncated(df: DataFrame, column: str, record: str, source: str) -> DataFrame
     p = F.greatest(F.coalesce("posterior", F.lit(0.0)), F.lit(PRIOR_CUT))
     p = F.least(p, F.lit(0.995))
     score = F.log(p / (1 - p)) + ending
-    rest = d.where("kind <> 'open'").select("_rec", "source", "len", "kind", F.when(F.col("kind") == "closed", F.lit(None)).otherwise(F.lit(6.0)).cast("double").alias("score"))
+    rest = ends.where("kind <> 'open'").select("_rec", "source", "len", "kind", F.when(F.col("kind") == "closed", F.lit(None)).otherwise(F.lit(6.0)).cast("double").alias("score"))
     out = rest.unionByName(scored.select("_rec", "source", "len", "kind", score.alias("score")))
     return out.withColumnRenamed("_rec", record)
 
