@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus",)
+MODULES = ("cleaning", "relations", "edges", "features", "walks", "corpus")
 
 
 def queries() -> dict:
