@@ -92,7 +92,8 @@ def parse_name(name: str) -> list[tuple[str, str]]:
         return [_form(words[:n], words[n:])]
     out = [_form(words[-1:], words[:-1])]
     if not small[0] and not small[-1]:
-        out.append(_form(words[:1], words[1:]))
+        surname, given = _form(words[:1], words[1:])
+        out.append((surname, given.replace("-", "-=") if given[:1] == "." else "=" + given.replace(" ", " =").replace("=.", ".").replace("=-", "-=")))
     return out
 
 
@@ -117,14 +118,20 @@ def _forms(given: str) -> list[list[str]]:
     return [[p.lstrip("-") for p in parts], *([[p for p in parts if p[0] != "-"]] if any(p[0] == "-" for p in parts) else [])]
 
 
+def within_word(a: str, b: str) -> bool:
+    return a == b or (min(len(a), len(b)) >= 4 and within_one(a, b))
+
+
 def _fit(a: list[str], b: list[str]) -> bool:
     for x, y in zip(a, b):
         if x == y:
             continue
         if x[0] == "." or y[0] == ".":
-            if x.lstrip(".")[:1] != y.lstrip(".")[:1]:
+            if x.lstrip(".=")[:1] != y.lstrip(".=")[:1]:
                 return False
-        elif not (min(len(x), len(y)) >= 4 and within_one(x, y)):
+        elif x[0] == "=" and y[0] == "=":
+            return False  # both read in the less usual order: no typing errors there
+        elif not within_word(x.lstrip("="), y.lstrip("=")):
             return False
     return True
 
@@ -165,7 +172,8 @@ def segment_links(tokens: DataFrame) -> DataFrame:
     probe = t.select(F.col("p").alias("p1"), F.col("token").alias("t1"), F.col("n").alias("n1"), F.explode(F.array_distinct(F.array(*probes))).alias("k"))
     near = probe.join(index, "k").where((F.col("p") == F.col("p1")) & (F.col("t1") != F.col("t2")))
     d = F.levenshtein("t1", "t2", 2)
-    swapped = (F.length("t1") == F.length("t2")) & (F.array_sort(F.split("t1", "")) == F.array_sort(F.split("t2", "")))
+    swap = lambda i: F.concat(F.substr(F.col("t1"), F.lit(1), i - 1), F.substr(F.col("t1"), i + 1, F.lit(1)), F.substr(F.col("t1"), i, F.lit(1)), F.substr(F.col("t1"), i + 2))
+    swapped = (F.length("t1") == F.length("t2")) & F.exists(F.sequence(F.lit(1), F.length("t1") - 1), lambda i: swap(i) == F.col("t2"))
     near = near.where((d == 1) | ((d == 2) & swapped)).select("p", "t1", "n1", "t2", "n2")
     both = near.unionByName(near.select("p", F.col("t2").alias("t1"), F.col("n2").alias("n1"), F.col("t1").alias("t2"), F.col("n1").alias("n2")))
     # towards the commoner spelling; two common ones are two names

@@ -25,8 +25,9 @@ from citeloom.session import bounded_rows, checkpointed
 BLOCK_ITEMS = 4000
 MAX_PACKS = 1000
 NODES = 400  # fillings tried around one item
-SEARCH = 40_000  # nodes of the branch and bound of one block
+SEARCH = 4_000  # nodes of the branch and bound of one block
 BRANCHES = 4
+EXACT = 6  # fillings without waste that are looked for
 FULL = 0.97  # containers below this are packed again
 ROUNDS = 3
 
@@ -76,22 +77,21 @@ def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 def fillings(left: Multiset, space: int, most_waste: int) -> list[tuple[int, ...]]:
     """Undominated sets of sizes that fit, least waste first; only those that waste no more than allowed, but at least one."""
     found: list[tuple[int, tuple[int, ...]]] = []
-    nodes = 0
+    nodes = exact = 0
 
     def go(room: int, top: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal nodes
+        nonlocal nodes, exact
         nodes += 1
         i = bisect.bisect_right(left.sizes, min(room, top)) - 1
         if i < 0:
             found.append((room, chosen))
-            return room == 0
+            exact += room == 0
+            return exact >= EXACT
         for k in range(i, -1, -1):
             s = left.sizes[k]
             if left.count[s] <= chosen.count(s):
                 continue
             if go(room - s, s, (*chosen, s)) or nodes > NODES:
-                return found[-1][0] == 0
-            if room - s == 0:
                 return True
         if not found or room < found[0][0]:
             found.append((room, chosen))
@@ -191,16 +191,17 @@ def pack(items: DataFrame, packs: DataFrame, item: str = "doc_id", block_items:
     items: (item, tokens). ``block_items`` bounds what one task packs at once; the packing gets no worse than best-fit in a block.
     """
     sizes = [(r[0], r[1]) for r in bounded_rows(packs.select("pack_name", "capacity_tokens"), MAX_PACKS, "pack sizes") if r[1] and r[1] > 0]
-    spark = items.sparkSession
-    sizes_df = spark.createDataFrame(sizes, "pack_name string, capacity int")
-    placed = items.where("tokens > 0").join(F.broadcast(sizes_df)).select("pack_name", "capacity", F.col(item).cast("long").alias("item"), F.col("tokens").alias("_all"))
+    each = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in sizes]) if sizes else F.array().cast("array<struct<n: string, c: int>>")
+    placed = items.where("tokens > 0").select(F.col(item).cast("long").alias("item"), F.col("tokens").alias("_all"), F.explode(each).alias("p"))
+    placed = placed.select(F.col("p.n").alias("pack_name"), F.col("p.c").alias("capacity"), "item", "_all")
     pieces = placed.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / F.col("capacity")).cast("int"))))
     start = F.col("piece_no").cast("long") * F.col("capacity")
     todo = pieces.select("pack_name", "capacity", "item", "piece_no", start.alias("start_token"), F.least(F.col("capacity").cast("long"), F.col("_all") - start).cast("int").alias("tokens"))
     todo = checkpointed(todo)
     done: list[DataFrame] = []
     alone = todo.where("tokens = capacity")
-    done.append(alone.select("*", F.concat_ws("-", "pack_name", F.lit("full"), "item", "piece_no").alias("container_id")))
+    # numbered by row, as rows may repeat; the table is checkpointed, so the numbers are the same at each read
+    done.append(alone.select("*", F.concat_ws("-", "pack_name", F.lit("full"), F.monotonically_increasing_id()).alias("container_id")))
     todo = todo.where("tokens < capacity")
     before: dict[str, int] = {}
     for r in range(ROUNDS):
