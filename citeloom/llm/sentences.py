@@ -130,8 +130,14 @@ UNCASED = _rules(
 )
 CASCADE = {"Latin": ("en", "de", "fr", "es"), "Cyrillic": ("ru",), "Greek": ("el",), "Han": ("zh",), "Kana": ("ja",), "Hangul": ("ko",), "Arabic": ("ar",), "Devanagari": ("hi",), "Thai": ("th",)}
 HAS_CASE = {"Latin", "Cyrillic", "Greek"}
-LETTER = regex.compile(r"(?<k>[\p{Hiragana}\p{Katakana}])|(?<h>\p{Han})|(?<g>\p{Hangul})|(?<t>\p{Thai})|(?<d>\p{Devanagari})|(?<a>\p{Arabic})|(?<c>\p{Cyrillic})|(?<e>\p{Greek})|(?<l>\p{Latin})")
-SCRIPT = {"k": "Kana", "h": "Han", "g": "Hangul", "t": "Thai", "d": "Devanagari", "a": "Arabic", "c": "Cyrillic", "e": "Greek", "l": "Latin"}
+#: First and last code points of the letters of each script.
+RANGES = (
+    (0x0041, 0x024F, "Latin"), (0x1E00, 0x1EFF, "Latin"), (0x0370, 0x03FF, "Greek"), (0x1F00, 0x1FFF, "Greek"), (0x0400, 0x052F, "Cyrillic"), (0x0600, 0x06FF, "Arabic"), (0x0750, 0x077F, "Arabic"),
+    (0x0900, 0x097F, "Devanagari"), (0x0E00, 0x0E7F, "Thai"), (0x1100, 0x11FF, "Hangul"), (0xAC00, 0xD7AF, "Hangul"), (0x3040, 0x30FF, "Kana"), (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"), (0xF900, 0xFAFF, "Han"),
+)
+ABBREVIATIONS = frozenset(w.lower() for t in (TITLES, NUMBERED) for ws in t.values() for w in ws.split())
+PLAIN_NEXT = regex.compile(rf"{S}+[\"“„«(¿¡]*\p{{Lu}}")
+THAI = regex.compile(r"\p{Thai}")
 BULLET = regex.compile(rf"{S}*(?:[-–—*•‣◦▪·●○■]{S}|[(\[]?(?:\p{{N}}{{1,3}}|[a-zA-Z])\){S}|\p{{N}}{{1,3}}、)")
 NUMBER_BULLET = regex.compile(rf"{S}*\p{{N}}{{1,3}}\.{S}")
 ENDED = regex.compile(rf"[.!?…。｡！？؟।॥;][\"'”’»)\]）」』“]*{S}*\Z")
@@ -144,19 +150,15 @@ SCAN_BACK = 64
 
 def _script(text: str, at: int) -> str:
     """Script of the last letter before a position; Japanese if kana stand near Han."""
-    tail = text[max(0, at - SCAN_BACK) : at]
-    last = None
-    for m in LETTER.finditer(tail):
-        last = m
-    if last is None:
-        m = LETTER.search(text, at)
-        last = m
-    if last is None:
-        return "Latin"
-    s = SCRIPT[last.lastgroup]
-    if s == "Han" and KANA.search(tail):
-        return "Kana"
-    return s
+    for i in (*range(at - 1, max(-1, at - SCAN_BACK - 1), -1), *range(at, min(len(text), at + SCAN_BACK))):
+        c = text[i]
+        if c < "A" or not (c.isalpha() or c > "\u02ff"):
+            continue
+        o = ord(c)
+        for lo, hi, s in RANGES:
+            if lo <= o <= hi:
+                return "Kana" if s == "Han" and KANA.search(text, max(0, at - SCAN_BACK), at) else s
+    return "Latin"
 
 
 def _spans(text: str) -> tuple[list[tuple[int, int]], set[int]]:
@@ -188,6 +190,14 @@ def _spans(text: str) -> tuple[list[tuple[int, int]], set[int]]:
 
 def _decide(text: str, at: int, script: str, lang: str | None, small: bool) -> bool:
     before, tables = text[max(0, at - SCAN_BACK) : at], CASCADE[script]
+    # what no rule of any table but the last ones can match: a whole word that is no abbreviation, and a capital next
+    if script in HAS_CASE:
+        if PLAIN_NEXT.match(text, at):
+            word = before.split()[-1].rstrip(".!?…\"'”’»)]").lstrip("\"'“‘«„([")
+            if len(word) > 3 and word.isalpha() and word.lower() not in ABBREVIATIONS:
+                return True
+    elif before[-1] in "。！？" and text[at] not in " \t\n\xa0,،，、:：)]）»–—":
+        return True
     if lang in tables:
         tables = (lang, *[t for t in tables if t != lang])
     for table in (*[LANGUAGE[t] for t in tables], (SMALL if small else CASED) if script in HAS_CASE else UNCASED):
@@ -262,7 +272,7 @@ def boundaries(text: str | None, lang: str | None = None) -> list[tuple[int, int
             continue
         if _decide(text, e, script, lang, small):
             cuts.add(e)
-    if regex.search(r"\p{Thai}", text):
+    if THAI.search(text):
         for m in THAI_SPACE.finditer(text):
             a, b = m.span()
             if inside[a] or text[a - 1] == "ๆ" and not regex.match(r"\p{Thai}", text[b]):
