@@ -149,10 +149,11 @@ def split_array(texts: pa.Array) -> pa.ListArray:
         one_word = ~_is(atoms, r"[\s\p{Z}]") & (pc.binary_length(atoms).to_numpy(zero_copy_only=False) > 0) & ~_is(atoms, r"^[\"'“„«]") & ~_is(atoms, NOBODY)
         glue = np.zeros(len(parent), bool)  # True: this atom goes on with the one before
         glue[1:] = by_comma[1:]
-        suffix = _is(atoms, SUFFIX)
+        bare = pc.replace_substring_regex(atoms, TRAILING, "")
+        suffix = _is(bare, SUFFIX)
         suffix[1:] &= (pc.binary_length(atoms).to_numpy(zero_copy_only=False) > 0)[:-1]
         group = _is(atoms, GROUP)
-        initials, given = _is(atoms, INITIALS), _is(atoms, GIVEN)
+        initials, given = _is(bare, INITIALS), _is(bare, GIVEN)
         filled = ~_is(atoms, NOBODY)
         before = np.concatenate(([False], one_word[:-1] & ~suffix[:-1]))
         before_given = np.concatenate(([False], (one_word & ~initials)[:-1]))
@@ -175,7 +176,7 @@ def split_array(texts: pa.Array) -> pa.ListArray:
     # "and" between two values, unless inside the name of a group or a quoted value
     quoted = _is(atoms, r"^(\"(?s:.*)\"|'(?s:.*)')$")
     together = quoted | _is(atoms, GROUP)
-    atoms = pc.if_else(pa.array(together), atoms, pc.replace_substring_regex(atoms, TRAILING, ""))
+    atoms = pc.if_else(pa.array(quoted), atoms, pc.replace_substring_regex(atoms, TRAILING, ""))
     atoms = pc.if_else(pa.array(together), atoms, pc.replace_substring_regex(atoms, r"(?i)^(and|&)\s+", ""))
     marked = pc.if_else(pa.array(together), atoms, pc.replace_substring_regex(atoms, r"\s+(and|&)\s+", "\x1f"))
     pieces = pc.split_pattern(marked, "\x1f")

@@ -30,6 +30,9 @@ CASES = {
     "Lumen, Lattice and Light Initiative; A Bell": ["Lumen, Lattice and Light Initiative", "A Bell"],
     "A Bell, C Dow, et al.": ["A Bell", "C Dow"],
     "A Bell et al.": ["A Bell"],
+    "A Bell; Eva Gray, PhD et al.": ["A Bell", "Eva Gray, PhD"],
+    "A Bell; Gray, E. et al.": ["A Bell", "Gray, E."],
+    "A Bell; Cell and Module Consortium et al.": ["A Bell", "Cell and Module Consortium"],
     "A Bell, C Dow, ...": ["A Bell", "C Dow"],
     "A Bell, and others": ["A Bell"],
     ", A Bell,, C Dow, ": ["A Bell", "C Dow"],
