@@ -119,7 +119,7 @@ def _forms(given: str) -> list[list[str]]:
 
 
 def within_word(a: str, b: str) -> bool:
-    return a == b or (min(len(a), len(b)) >= 4 and within_one(a, b))
+    return a == b or (min(len(a), len(b)) >= 3 and max(len(a), len(b)) >= 4 and within_one(a, b))
 
 
 def _fit(a: list[str], b: list[str]) -> bool:
@@ -141,15 +141,25 @@ def compatible(a: str, b: str) -> bool:
     return any(_fit(x, y) for x in _forms(a) for y in _forms(b))
 
 
-def people(spellings: list[tuple[str, str]]) -> list[list[str]]:
-    """Sets of names that mean one person; all have one surname and first letter. Full names come first and found the sets."""
-    by_given = defaultdict(list)
-    for name, given in spellings:
+def opposed(a: str, b: str) -> bool:
+    """Whether the letters after the first given name exclude each other."""
+    return not any(all(p.lstrip(".=")[:1] == q.lstrip(".=")[:1] for p, q in zip(x[1:], y[1:])) for x in _forms(a) for y in _forms(b))
+
+
+def people(spellings: list[tuple[str, str, int]]) -> list[list[str]]:
+    """Sets of names that mean one person; all have one surname and first letter.
+
+    Full names come first, often used ones before others, and found the sets. A name joins the one set that has a compatible
+    member and no opposed one; where several do, its own forms are a set.
+    """
+    by_given, uses = defaultdict(list), defaultdict(int)
+    for name, given, n in spellings:
         by_given[given].append(name)
-    order = sorted(by_given, key=lambda g: (-sum(p[0] != "." for p in g.split()), -len(g.split()), g))
+        uses[given] += n
+    order = sorted(by_given, key=lambda g: (-sum(p[0] != "." for p in g.split()), -len(g.split()), -uses[g], g))
     sets: list[tuple[list[str], list[str]]] = []
     for g in order:
-        fits = [s for s in sets if all(compatible(g, o) for o in s[0])]
+        fits = [s for s in sets if any(compatible(g, o) for o in s[0]) and not any(opposed(g, o) for o in s[0])]
         if len(fits) == 1:
             fits[0][0].append(g)
             fits[0][1].extend(by_given[g])
@@ -159,25 +169,29 @@ def people(spellings: list[tuple[str, str]]) -> list[list[str]]:
 
 
 def segment_links(tokens: DataFrame) -> DataFrame:
-    """(p, token, canon): spellings that are one error away from a commoner one of the same p. tokens: p, token, n, unique."""
+    """(p, token, canon): spellings that are one error away from a commoner one of the same p.
+
+    tokens: p, token, its number n of uses and m of names that have it. A spelling that several names have, and that is not
+    much rarer than the other, is a name of its own.
+    """
     t = tokens.where(F.length("token") >= MIN_TYPO).withColumn("len", F.length("token"))
     cut = lambda n, i: F.floor(n * i / SEGMENTS).cast("int")
-    index = t.select("p", F.col("token").alias("t2"), F.col("n").alias("n2"), F.explode(F.array(*[F.xxhash64("p", "len", F.lit(i), F.substring(F.col("token"), cut(F.col("len"), i) + 1, cut(F.col("len"), i + 1) - cut(F.col("len"), i))) for i in range(SEGMENTS)])).alias("k"))
+    index = t.select("p", F.col("token").alias("t2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.explode(F.array(*[F.xxhash64("p", "len", F.lit(i), F.substring(F.col("token"), cut(F.col("len"), i) + 1, cut(F.col("len"), i + 1) - cut(F.col("len"), i))) for i in range(SEGMENTS)])).alias("k"))
     probes = []
     for less in (0, 1):
         n = F.col("len") - less
         for i in range(SEGMENTS):
             for shift in {0, less}:
                 probes.append(F.xxhash64("p", n, F.lit(i), F.substring(F.col("token"), cut(n, i) + 1 + shift, cut(n, i + 1) - cut(n, i))))
-    probe = t.select(F.col("p").alias("p1"), F.col("token").alias("t1"), F.col("n").alias("n1"), F.explode(F.array_distinct(F.array(*probes))).alias("k"))
+    probe = t.select(F.col("p").alias("p1"), F.col("token").alias("t1"), F.col("n").alias("n1"), F.col("m").alias("m1"), F.explode(F.array_distinct(F.array(*probes))).alias("k"))
     near = probe.join(index, "k").where((F.col("p") == F.col("p1")) & (F.col("t1") != F.col("t2")))
     d = F.levenshtein("t1", "t2", 2)
     swap = lambda i: F.concat(F.substr(F.col("t1"), F.lit(1), i - 1), F.substr(F.col("t1"), i + 1, F.lit(1)), F.substr(F.col("t1"), i, F.lit(1)), F.substr(F.col("t1"), i + 2))
     swapped = (F.length("t1") == F.length("t2")) & F.exists(F.sequence(F.lit(1), F.length("t1") - 1), lambda i: swap(i) == F.col("t2"))
-    near = near.where((d == 1) | ((d == 2) & swapped)).select("p", "t1", "n1", "t2", "n2")
-    both = near.unionByName(near.select("p", F.col("t2").alias("t1"), F.col("n2").alias("n1"), F.col("t1").alias("t2"), F.col("n1").alias("n2")))
+    near = near.where((d == 1) | ((d == 2) & swapped)).select("p", "t1", "n1", "m1", "t2", "n2", "m2")
+    both = near.unionByName(near.select("p", F.col("t2").alias("t1"), F.col("n2").alias("n1"), F.col("m2").alias("m1"), F.col("t1").alias("t2"), F.col("n1").alias("n2"), F.col("m1").alias("m2")))
     # towards the commoner spelling; two common ones are two names
-    down = both.where((F.col("n2") > F.col("n1")) | ((F.col("n2") == F.col("n1")) & (F.col("t2") < F.col("t1")))).where((F.col("n1") <= 2) | (F.col("n2") >= 3 * F.col("n1")))
+    down = both.where((F.col("n2") > F.col("n1")) | ((F.col("n2") == F.col("n1")) & (F.col("t2") < F.col("t1")))).where((F.col("m1") == 1) | (F.col("n1") <= 2) | (F.col("n2") >= 3 * F.col("n1")))
     best = down.groupBy("p", F.col("t1").alias("token")).agg(F.max(F.struct("n2", F.col("t2").alias("canon"))).alias("b")).select("p", "token", F.col("b.canon").alias("canon"))
     best = checkpointed(best)
     further = best.select("p", F.col("token").alias("canon"), F.col("canon").alias("further"))
@@ -303,8 +317,8 @@ def person_variants(rows: DataFrame, profile: str, authors: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["p", "name", "n", "token", "given"])
 
     forms = checkpointed(names.mapInPandas(parse, "p string, name string, n long, token string, given string"))
-    links = segment_links(forms.groupBy("p", "token").agg(F.sum("n").alias("n")))
-    keyed = forms.join(links, ["p", "token"], "left").select("p", F.coalesce("canon", "token").alias("s"), F.regexp_extract("given", r"\p{L}", 0).alias("i"), "name", "given")
+    links = segment_links(forms.groupBy("p", "token").agg(F.sum("n").alias("n"), F.count("*").alias("m")))
+    keyed = forms.join(links, ["p", "token"], "left").select("p", F.coalesce("canon", "token").alias("s"), F.regexp_extract("given", r"\p{L}", 0).alias("i"), "name", "given", "n")
 
     def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
@@ -316,11 +330,11 @@ def person_variants(rows: DataFrame, profile: str, authors: str) -> DataFrame:
 
         for b in batches:
             out = []
-            for p, s, i, name, given in zip(b["p"], b["s"], b["i"], b["name"], b["given"]):
+            for p, s, i, name, given, n in zip(b["p"], b["s"], b["i"], b["name"], b["given"], b["n"]):
                 if key != (p, s, i):
                     out += close()
                     key, held = (p, s, i), []
-                held.append((name, given))
+                held.append((name, given, n))
             if out:
                 yield pd.DataFrame(out, columns=["p", "field", "name_a", "name_b"])
         if out := close():
@@ -353,7 +367,7 @@ def journal_variants(rows: DataFrame, profile: str, journal: str, usual: DataFra
     maybe = found.where(F.size("keys") > 1).select("p", "name", F.explode("keys").alias("k")).select("p", "name", F.concat(F.lit("#"), "k").alias("c")).join(seen, ["p", "c"])
     maybe = maybe.groupBy("p", "name").agg(F.min("c").alias("c"), F.count("*").alias("m")).where("m = 1").select("p", "name", "c")
     loose = found.where(F.size("keys") == 0).where("token <> ''").select("p", "name", "n", "token")
-    links = segment_links(loose.groupBy("p", "token").agg(F.sum("n").alias("n")))
+    links = segment_links(loose.groupBy("p", "token").agg(F.sum("n").alias("n"), F.count("*").alias("m")))
     other = loose.join(links, ["p", "token"], "left").select("p", "name", F.coalesce("canon", "token").alias("c"))
     sets = sure.unionByName(maybe).unionByName(other).groupBy("p", "c").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
     a = sets.select("p", "names", F.posexplode("names").alias("i", "name_a"))

@@ -13,12 +13,14 @@ source of its own; a source with few texts has no limit, then the ending alone d
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.sentences import NUMBERED, TITLES
 from citeloom.operators.split_values import MISSING_MARKERS
 from citeloom.session import checkpointed
 
@@ -27,6 +29,9 @@ CLOSED = rf"[.!?。！？।؟]{CLOSERS}$"
 #: Marks of omission, with the words that some sites put after them, broken characters and half-sent escapes or tags.
 OMITTED = r"(?i)(?:(?:…|\.{3,}|\[\s*(?:…|\.{2,})\s*\])\s*(?:[(\[]?(?:read |see |show |view )?(?:more|continued|cont\.?|truncated|weiterlesen|mehr|suite|ver más)[)\]]?)?|[(\[](?:continued|truncated|cut|abridged)[)\]]|�+|\\u?[0-9a-f]{0,4}|&#?[a-z0-9]{0,8};?|<[/a-z]{0,10})$"
 FORMULA = r"(?i)(?:\band so (?:on|forth)|\betc|\busw|\bund so weiter|\bainsi de suite|\betcétera|\by así sucesivamente|и т\. ?д|和等等|等等)\s*(?:…|\.{3,})$"
+#: Abbreviations that need something after them, and initials.
+ABBREVIATED = r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in sorted({w for t in (TITLES, NUMBERED) for ws in t.values() for w in ws.split()}, key=len, reverse=True)) + r"|z\. ?B|d\. ?h|т\. ?е|(?<!\d )\p{Lu})\.$"
+DECIMAL = r"\p{N}\.$"
 DANGLING = r"[,;:(\[“„«‘/–—-]$"
 KEYWORDS = r"(?i)(?:^|[.!?。]\s+)(?:key ?words?|index terms|schlagwörter|stichworte|mots[- ]clés|palabras clave|ключевые слова|关键词|キーワード)\s*[:：][^.!?]*$|(?:©|\(c\) |copyright )[^.!?]{0,80}$"
 #: Scripts written without marks at the end of sentences.
@@ -39,6 +44,7 @@ PRIOR_CUT = 0.3  # of a text without an end that is at no limit
 LACKING = 0.08  # share of whole texts without a closing mark
 WINDOW = 10  # a limit that respects words spreads the cuts over so many characters
 SMOOTH = 0.5
+NUMBER_ENDS = 1.0  # log-odds of a whole text that ends in a number, against one cut inside a number
 
 
 def fit_censored(length: np.ndarray, n_exact: np.ndarray, n_censored: np.ndarray, rounds: int = 30) -> tuple[float, float]:
@@ -69,7 +75,6 @@ def censoring(pdf: pd.DataFrame) -> pd.DataFrame:
     n, whole, opened = (pdf[c].to_numpy() for c in ("len", "n_closed", "n_open"))
     out = np.zeros(len(n))
     top = int(n.max())
-    expected_len = np.bincount(n, whole + 0.0, minlength=top + 2)
     open_len = np.bincount(n, opened + 0.0, minlength=top + 2)
     total = whole.sum() + opened.sum()
     cens = np.zeros(len(n))
@@ -81,8 +86,9 @@ def censoring(pdf: pd.DataFrame) -> pd.DataFrame:
         law = np.concatenate(([0.0], np.exp(-0.5 * z * z) / (grid * sd * math.sqrt(2 * math.pi))))[: top + 2] * total
         natural = LACKING * np.maximum(law, 1e-9)
         best = np.zeros(len(n))
+        left = open_len.copy()  # what piles up at one length says nothing of the lengths around it
         for width in (1, WINDOW):
-            c_open = np.concatenate(([0], np.cumsum(open_len)))
+            c_open = np.concatenate(([0], np.cumsum(left)))
             c_nat = np.concatenate(([0], np.cumsum(natural)))
             for back in {0, width // 2, width - 1}:  # the length may be anywhere in the window below the limit
                 hi = np.minimum(n + back, top + 1)
@@ -90,8 +96,8 @@ def censoring(pdf: pd.DataFrame) -> pd.DataFrame:
                 seen, want = c_open[hi + 1] - c_open[lo], np.maximum(c_nat[hi + 1] - c_nat[lo], 1e-6)
                 significant = (seen >= 5) & (seen - want > 4 * np.sqrt(want + 1))
                 best = np.maximum(best, np.where(significant, 1 - np.minimum(1, want / np.maximum(seen, 1)), 0))
+            left[n[best > 0]] = 0
         out, cens = best, best * opened
-    del expected_len
     keep = opened > 0
     return pd.DataFrame({"source": pdf["source"].to_numpy()[keep], "len": n[keep], "posterior": out[keep], "mu": mu, "sd": sd})
 
@@ -104,7 +110,7 @@ def _endings(df: DataFrame, column: str, record: str, source: str) -> DataFrame:
     # all of these marks are within the last 40 characters; a plain full stop decides most texts at once
     tail = F.right(t, F.lit(40))
     kind = (
-        F.when(F.endswith(t, F.lit(".")) & ~F.endswith(t, F.lit("...")), "closed")
+        F.when(F.endswith(t, F.lit(".")) & ~F.endswith(t, F.lit("...")), F.when(F.right(t, F.lit(12)).rlike(ABBREVIATED), "dangling").when(F.right(t, F.lit(2)).rlike(DECIMAL), "decimal").otherwise("closed"))
         .when(tail.rlike(FORMULA), "closed")
         .when(tail.rlike(OMITTED), "omitted")
         .when(F.right(t, F.lit(8)).rlike(CLOSED) | F.right(t, F.lit(1)).rlike(UNMARKED), "closed")
@@ -139,7 +145,7 @@ def truncated(df: DataFrame, column: str, record: str, source: str) -> DataFrame
     # how often words and pairs of words end a sentence or stand inside one, over all texts; combined in each task before the
     # shuffle. The last word of a text without an end may be a fragment and is no evidence.
     tokens = F.split(_spaced(F.col("_t")), SPACE)
-    used = F.when(F.col("kind") == "closed", F.size("w")).otherwise(F.size("w") - 1)
+    used = F.when(F.col("kind").isin("closed", "decimal"), F.size("w")).otherwise(F.size("w") - 1)
     grams = d.select("kind", tokens.alias("w")).select("w", F.posexplode(F.slice("w", 1, F.greatest(used, F.lit(0)))).alias("i", "b"))
     g = grams.select(F.when(F.col("i") > 0, F.element_at("w", F.col("i"))).otherwise("").alias("a"), "b").groupBy("a", "b").agg(F.count("*").alias("n"))
     g = checkpointed(g.withColumn("final", F.col("b").rlike(CLOSED)))
@@ -148,7 +154,8 @@ def truncated(df: DataFrame, column: str, record: str, source: str) -> DataFrame
     words = counts.groupBy("word").agg(F.sum("nf").alias("wf"), F.sum("nm").alias("wm"))
     total = words.agg(F.sum("wf").alias("tf"), F.sum("wm").alias("tm"))
 
-    hist = ends.groupBy("source", "len").agg(F.count(F.when(F.col("kind") == "closed", 1)).alias("n_closed"), F.count(F.when(F.col("kind") != "closed", 1)).alias("n_open"))
+    whole = F.col("kind").isin("closed", "decimal")
+    hist = ends.groupBy("source", "len").agg(F.count(F.when(whole, 1)).alias("n_closed"), F.count(F.when(~whole, 1)).alias("n_open"))
     limits = hist.groupBy("source").applyInPandas(censoring, "source string, len int, posterior double, mu double, sd double")
 
     scored = open_rows.join(pairs, "pair", "left").join(words, "word", "left").join(tails, "word", "left").join(limits, ["source", "len"], "left").join(F.broadcast(total))
@@ -163,8 +170,11 @@ def truncated(df: DataFrame, column: str, record: str, source: str) -> DataFrame
     p = F.greatest(F.coalesce("posterior", F.lit(0.0)), F.lit(PRIOR_CUT))
     p = F.least(p, F.lit(0.995))
     score = F.log(p / (1 - p)) + ending
-    rest = ends.where("kind <> 'open'").select("_rec", "source", "len", "kind", F.when(F.col("kind") == "closed", F.lit(None)).otherwise(F.lit(6.0)).cast("double").alias("score"))
-    out = rest.unionByName(scored.select("_rec", "source", "len", "kind", score.alias("score")))
+    # "of 12." may be a sentence's end or half a number: the limit alone decides
+    p_limit = F.least(F.coalesce("posterior", F.lit(0.0)), F.lit(0.995))
+    number = ends.where("kind = 'decimal'").join(limits, ["source", "len"], "left").select("_rec", "source", "len", "kind", F.when(p_limit > 0.5, F.log(p_limit / (1 - p_limit)) - NUMBER_ENDS).alias("score"))
+    rest = ends.where("kind not in ('open', 'decimal')").select("_rec", "source", "len", "kind", F.when(F.col("kind") == "closed", F.lit(None)).otherwise(F.lit(6.0)).cast("double").alias("score"))
+    out = rest.unionByName(number).unionByName(scored.select("_rec", "source", "len", "kind", score.alias("score")))
     return out.withColumnRenamed("_rec", record)
 
 

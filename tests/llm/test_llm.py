@@ -92,7 +92,7 @@ def test_journals(spark):
 def test_segment_join_against_all_pairs(spark):
     rnd = random.Random(4)
     words = list({"".join(rnd.choice("abc") for _ in range(rnd.randint(5, 9))) for _ in range(150)})
-    t = spark.createDataFrame([("p", w, 1) for w in words], "p string, token string, n long")
+    t = spark.createDataFrame([("p", w, 1, 1) for w in words], "p string, token string, n long, m long")
     got = {r.token for r in name_variants.segment_links(t).collect()}
     brute = {a for a in words for b in words if b < a and name_variants.within_one(a, b)}
     assert got == brute
