@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.session import spread
+
 OPEN = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "“": "”", "«": "»", "„": "“”", "‹": "›", "【": "】", "《": "》"}
 CLOSE = set("".join(OPEN.values())) | set("\"'’")
 MARKS = regex.compile(r"[()\[\]（）「」『』“”«»„‹›【】《》\"]")
@@ -292,7 +294,7 @@ def boundaries(text: str | None, lang: str | None = None) -> list[tuple[int, int
 
 
 def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """(key, start_char, end_char) of every sentence; narrow, no shuffle, only the named columns are read."""
+    """(key, start_char, end_char) of every sentence; narrow, only the named columns are read."""
     src = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("_l"))
     src = src.where(F.col("_t").isNotNull() & (F.length("_t") > 0))
     schema = T.StructType([T.StructField("_k", src.schema["_k"].dataType), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
@@ -307,4 +309,4 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", lang
                     ends.append(e)
             yield pd.DataFrame({"_k": pd.Series(keys, dtype=b["_k"].dtype), "start_char": pd.Series(starts, dtype="int32"), "end_char": pd.Series(ends, dtype="int32")})
 
-    return src.mapInPandas(run, schema).withColumnRenamed("_k", key)
+    return spread(src).mapInPandas(run, schema).withColumnRenamed("_k", key)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How byte-level BPE vocabularies of this kind cut a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,4 +45,4 @@ def token_counts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VO
             b["_n"] = pd.Series([len(enc.encode_ordinary(t)) for t in b["_t"]], dtype="int32", index=b.index)
             yield b.drop(columns="_t")
 
-    return src.mapInPandas(run, schema).select(*[F.col(a).alias(c) for c, a in zip(keep, inner)], F.col("_n").alias("tokens"))
+    return spread(src).mapInPandas(run, schema).select(*[F.col(a).alias(c) for c, a in zip(keep, inner)], F.col("_n").alias("tokens"))
