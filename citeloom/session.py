@@ -53,6 +53,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly work per row, where the files gave fewer partitions than there are cores, as small inputs do."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a table that must be small; raises instead of collecting more than ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
