@@ -82,6 +82,11 @@ def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
     return df.where(F.col(label) == large).unionByName(copies.drop("_at", "_n", "_c"))
 
 
+def resampled_ridge(train: DataFrame, components: str, k: int, label: str, key: str, alpha: float) -> np.ndarray:
+    """Ridge fitted on the resampled training rows; what is scored later is never resampled."""
+    return ridge_fit(oversample(train, label, key), components, k, label, alpha)
+
+
 def gram(df: DataFrame, components: str, k: int, target: Column, group: Column | None = None) -> dict:
     """X'X (with a constant) and X'y, per group, in one aggregation of k^2 sums."""
     x = [F.get(F.col(components), F.lit(i)) for i in range(k)] + [F.lit(1.0)]

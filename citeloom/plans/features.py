@@ -124,6 +124,22 @@ def ml_oversample(spark, d):
     return ML.oversample(rows, "label", "index1").groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query(f"with {S.CLEAN}, r as (select (cites_per_year > 2)::int as label, row_id from clean where date < date '2018-07-01'), c as (select label, count(*) as n from r group by 1), m as (select max(n) as n from c) select label, m.n from c, m")
+def ml_oversample_wrap(spark, d):
+    """Only the training part is resampled."""
+    rows = R.split_by_date(R.clean_papers(t(spark, d, "papers_raw")), "date", "2018-07-01").where("part = 'train'")
+    rows = rows.select("row_id", (F.col("cites_per_year") > 2).cast("int").alias("label"))
+    return ML.oversample(rows, "label", "row_id").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
+def ml_clf_wrap(spark, d):
+    """Resample, fit, and predict the rows as they were."""
+    c = _components(spark, d)
+    w = ML.resampled_ridge(c, "components", 2, "label", "row_id", 1.0)
+    return ML.ridge_score(c, "components", w).select("row_id", (F.col("score") > 0).cast("int").alias("predicted"))
+
+
 def _papers(spark, d):
     p = R.clean_papers(t(spark, d, "papers_raw"))
     return ML.paper_arrays(p.withColumn("label", (F.col("cites_per_year") > 2).cast("int")))
@@ -160,7 +176,7 @@ def ml_cv_search(spark, d):
 def ml_pipe_fit(spark, d):
     """Encoders, SVD, resampling of the training part only, ridge; scores of the later papers."""
     c = R.split_by_date(_components(spark, d), "date", "2018-07-01")
-    w = ML.ridge_fit(ML.oversample(c.where("part = 'train'"), "label", "row_id"), "components", 2, "label", 10.0)
+    w = ML.resampled_ridge(c.where("part = 'train'"), "components", 2, "label", "row_id", 10.0)
     return ML.ridge_score(c.where("part = 'test'"), "components", w).select("row_id", "label", (F.col("score") > 0).cast("int").alias("predicted"))
 
 
