@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import columns as C
 from citeloom.operators.relational import row_positions
 from citeloom.operators.text import MIN_DF
+from citeloom.sinks.files import shared_path
 
 VOCABULARY = 100_000
 
@@ -44,30 +45,75 @@ def encoder(min_df: dict[str, int] = MIN_DF) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def truncated_svd(df: DataFrame, vectors: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Singular values and right vectors (features x k), uncentred; each vector's largest entry is positive."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    m = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(vectors), vectors))
-    svd = m.computeSVD(k, False)
-    v = svd.V.toArray()
+SPARSE = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+
+def sparse_columns(df: DataFrame, vectors: str) -> DataFrame:
+    """Vectors as plain columns (indices, values): written once and read back by their storage type, which also cuts the lineage."""
+    path = shared_path(df.sparkSession, "vectors")
+    df.write.parquet(path)
+    plain = ", ".join(f"`{f.name}` {SPARSE if f.name == vectors else f.dataType.simpleString()}" for f in df.schema.fields)
+    back = df.sparkSession.read.schema(plain).parquet(path)
+    v = F.col(vectors)
+    dense = F.sequence(F.lit(0), F.size(v["values"]) - 1)
+    return back.withColumn("indices", F.coalesce(v["indices"], dense)).withColumn("values", v["values"]).drop(vectors)
+
+
+def _times(index: pd.Series, value: pd.Series, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows times a matrix, with the flat indices, values and row numbers."""
+    size = np.array([len(x) for x in index], dtype=int)
+    flat = np.concatenate([np.asarray(x, dtype=int) for x in index]) if size.sum() else np.zeros(0, int)
+    x = np.concatenate([np.asarray(v, dtype=float) for v in value]) if size.sum() else np.zeros(0)
+    row = np.repeat(np.arange(len(size)), size)
+    out = np.stack([np.bincount(row, m[flat, j] * x, minlength=len(size)) for j in range(m.shape[1])], axis=1) if len(flat) else np.zeros((len(size), m.shape[1]))
+    return out, flat, x, row
+
+
+def truncated_svd(df: DataFrame, n: int, k: int, passes: int = 6, extra: int = 8, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right vectors (n x k) of rows (indices, values), uncentred; each vector's largest entry is positive.
+
+    Subspace iteration: a pass multiplies all rows by a thin matrix and back, sums are combined per feature before and after the
+    shuffle, and one row a feature comes to the driver; n is a vocabulary, so it is bounded. Exact for n up to 256.
+    """
+    if n > VOCABULARY * 8:
+        raise ValueError("too many features for a matrix on the driver")
+    exact = n <= 256
+    q = np.eye(n) if exact else np.linalg.qr(np.random.default_rng(seed).normal(size=(n, k + extra)))[0]
+    for _ in range(1 if exact else passes):
+        shared, width = df.sparkSession.sparkContext.broadcast(q), q.shape[1]
+
+        def run(batches, shared=shared, width=width):
+            z = np.zeros((n, width))
+            for b in batches:
+                y, flat, x, row = _times(b["indices"], b["values"], shared.value)
+                for j in range(width):
+                    z[:, j] += np.bincount(flat, y[row, j] * x, minlength=n)[:n]
+            at = np.flatnonzero(z.any(axis=1))
+            yield pd.DataFrame({"f": at.astype("int32"), **{f"c{j}": z[at, j] for j in range(width)}})
+
+        names = [f"c{j}" for j in range(width)]
+        parts = df.select("indices", "values").mapInPandas(run, "f int, " + ", ".join(f"{c} double" for c in names))
+        z = np.zeros((n, width))
+        got = parts.groupBy("f").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+        z[got["f"].to_numpy()] = got[names].to_numpy()
+        gram_small = q.T @ z
+        last, q = q, (q if exact else np.linalg.qr(z)[0])
+    w, u = np.linalg.eigh((gram_small + gram_small.T) / 2)
+    order = np.argsort(-w)[:k]
+    v = last @ u[:, order]
     v = v * np.where(v[np.abs(v).argmax(axis=0), range(v.shape[1])] < 0, -1, 1)
-    return np.array(svd.s.toArray()), v
+    return np.sqrt(np.maximum(w[order], 0)), v
 
 
-def project(df: DataFrame, vectors: str, v: np.ndarray, out: str = "components") -> DataFrame:
-    """Multiply by the right vectors; the matrix is as wide as the vocabulary, which is bounded, and goes with the tasks."""
+def project(df: DataFrame, v: np.ndarray, out: str = "components") -> DataFrame:
+    """Multiply rows (indices, values) by the right vectors; the matrix is as long as the vocabulary, which is bounded."""
     shared = df.sparkSession.sparkContext.broadcast(v)
 
     @F.pandas_udf("array<double>")
     def times(index: pd.Series, value: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([(np.asarray(x) @ m[np.asarray(i, dtype=int)]).tolist() if len(i) else [0.0] * m.shape[1] for i, x in zip(index, value)])
+        return pd.Series(list(_times(index, value, shared.value)[0]))
 
-    a = vector_to_array(F.col(vectors))
-    index = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.get(a, i) != 0)
-    return df.withColumn("_a", a).withColumn("_i", index).withColumn("_x", F.transform("_i", lambda i: F.get(F.col("_a"), i))).withColumn(out, times("_i", "_x")).drop("_a", "_i", "_x")
+    return df.withColumn(out, times("indices", "values")).drop("indices", "values")
 
 
 def oversample(df: DataFrame, label: str, key: str) -> DataFrame:

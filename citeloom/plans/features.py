@@ -149,15 +149,17 @@ def _components(spark, d, k=2):
     """Encoded and projected papers, checkpointed as the learners read them many times."""
     papers = checkpointed(_papers(spark, d))
     model = ML.encoder().fit(papers)
-    vectors = checkpointed(model.transform(papers).select("row_id", "date", "label", "cites_per_year", "features"))
-    _, v = ML.truncated_svd(vectors, "features", k)
-    return checkpointed(ML.project(vectors, "features", v).select("row_id", "date", "label", "cites_per_year", "components"))
+    vectors = model.transform(papers).select("row_id", "date", "label", "cites_per_year", "features")
+    rows = ML.sparse_columns(vectors, "features")
+    n = sum(len(m.vocabulary) for m in model.stages[:-1]) + 3
+    _, v = ML.truncated_svd(rows, n, k)
+    return checkpointed(ML.project(rows, v))
 
 
 @query()
 def ml_svd(spark, d):
-    e = t(spark, d, "embeddings").select(ML.array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    s, _ = ML.truncated_svd(e, "v", 10)
+    e = t(spark, d, "embeddings").select(F.sequence(F.lit(0), F.size("embedding") - 1).alias("indices"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    s, _ = ML.truncated_svd(e, 64, 10)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "component int, singular_value double")
 
 

@@ -153,8 +153,12 @@ def test_learning(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
     df = spark.createDataFrame([(i, [float(v) for v in r], int(r[0] + 0.1 * r[1] > 0.8)) for i, r in enumerate(x)], "k int, c array<double>, y int")
-    s, v = ML.truncated_svd(df.select(ML.array_to_vector("c").alias("v")), "v", 3)
-    assert np.allclose(s, np.linalg.svd(x, compute_uv=False)[:3])
+    for n in (5, 400):  # exact, and by iteration
+        m = x if n == 5 else rng.normal(size=(200, n)) * (0.9 ** np.arange(n))
+        wide = spark.createDataFrame([([i for i in range(n)], [float(v) for v in r]) for r in m], "indices array<int>, values array<double>")
+        s, v = ML.truncated_svd(wide, n, 3, passes=20)
+        assert np.allclose(s, np.linalg.svd(m, compute_uv=False)[:3], rtol=1e-6)
+        assert np.allclose(np.linalg.norm(m @ v, axis=0), s)
     w = ML.ridge_fit(df, "c", 5, "y", 2.0)
     a = np.hstack([x, np.ones((200, 1))])
     t = np.where(np.array([r.y for r in df.orderBy("k").collect()]) == 1, 1.0, -1.0)
