@@ -186,6 +186,8 @@ def _spans(text: str) -> tuple[list[tuple[int, int]], set[int]]:
             del stack[k:]
         elif c in OPEN:
             stack.append((c, i))
+        if len(stack) > 64:  # marks that are never closed
+            del stack[:32]
     spans = [(a, b) for a, b in spans if b - a <= SPAN_LIMIT]
     return spans, {b for _, b in spans}
 

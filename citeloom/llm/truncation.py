@@ -73,31 +73,31 @@ def censoring(pdf: pd.DataFrame) -> pd.DataFrame:
     """Posterior of censoring for each length of one source that has texts without an end."""
     pdf = pdf.sort_values("len")
     n, whole, opened = (pdf[c].to_numpy() for c in ("len", "n_closed", "n_open"))
-    out = np.zeros(len(n))
-    top = int(n.max())
-    open_len = np.bincount(n, opened + 0.0, minlength=top + 2)
     total = whole.sum() + opened.sum()
-    cens = np.zeros(len(n))
+    cens, best = np.zeros(len(n)), np.zeros(len(n))
     mu = sd = 0.0
+
+    def below(x: np.ndarray) -> np.ndarray:
+        """Share of the fitted law up to x."""
+        z = (np.log(np.maximum(x, 1e-9)) - mu) / sd
+        return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+
     for _ in range(2):  # limits with the uncensored fit first, then again with the censored one
         mu, sd = fit_censored(n, whole, np.round(cens))
-        grid = np.arange(1, top + 2)
-        z = (np.log(grid) - mu) / sd
-        law = np.concatenate(([0.0], np.exp(-0.5 * z * z) / (grid * sd * math.sqrt(2 * math.pi))))[: top + 2] * total
-        natural = LACKING * np.maximum(law, 1e-9)
         best = np.zeros(len(n))
-        left = open_len.copy()  # what piles up at one length says nothing of the lengths around it
+        left = opened.astype(float)  # what piles up at one length says nothing of the lengths around it
         for width in (1, WINDOW):
             c_open = np.concatenate(([0], np.cumsum(left)))
-            c_nat = np.concatenate(([0], np.cumsum(natural)))
             for back in {0, width // 2, width - 1}:  # the length may be anywhere in the window below the limit
-                hi = np.minimum(n + back, top + 1)
-                lo = np.maximum(hi - width + 1, 0)
-                seen, want = c_open[hi + 1] - c_open[lo], np.maximum(c_nat[hi + 1] - c_nat[lo], 1e-6)
+                hi = n + back
+                lo = hi - width + 1
+                seen = c_open[np.searchsorted(n, hi, "right")] - c_open[np.searchsorted(n, lo, "left")]
+                want = np.maximum(LACKING * total * (below(hi + 0.5) - below(lo - 0.5)), 1e-6)
                 significant = (seen >= 5) & (seen - want > 4 * np.sqrt(want + 1))
                 best = np.maximum(best, np.where(significant, 1 - np.minimum(1, want / np.maximum(seen, 1)), 0))
-            left[n[best > 0]] = 0
-        out, cens = best, best * opened
+            left[best > 0] = 0
+        cens = best * opened
+    out = best
     keep = opened > 0
     return pd.DataFrame({"source": pdf["source"].to_numpy()[keep], "len": n[keep], "posterior": out[keep], "mu": mu, "sd": sd})
 
