@@ -83,10 +83,11 @@ def schedule(blocks: dict[str, int]) -> list[tuple[int, str, int]]:
     return out
 
 
-def mix(sizes: DataFrame, targets: DataFrame, item: str = "doc_id", total: int | str = "exact", seed: int = 7, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, item: str = "doc_id", total: int | str = "corpus", seed: int = 7, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """(slot, source, repeat_no, item, tokens, source_start): the mixture, in order of slot and source_start.
 
-    sizes: (item, source, tokens). targets: (source, target_share, max_repeats).
+    sizes: (item, source, tokens). targets: (source, target_share, max_repeats). total: as in quotas; by default as many tokens
+    as the sources with a target have, so a small source lacks part of its share instead of shrinking the whole mixture.
     """
     spark = sizes.sparkSession
     want = [(r[0], float(r[1] or 0), r[2]) for r in bounded_rows(targets.select("source", "target_share", "max_repeats"), MAX_SOURCES, "targets") if r[0] is not None]

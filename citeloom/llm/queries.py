@@ -66,6 +66,11 @@ def p7_shares_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(mix_texts(read_table(spark, sf_dir, "documents"), targets, total="corpus"), targets)
 
 
+def p7_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read_table(spark, sf_dir, "mix_targets")
+    return share_report(mix_texts(read_table(spark, sf_dir, "documents"), targets, total="exact"), targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(read_table(spark, sf_dir, "documents"))
 
@@ -75,4 +80,4 @@ def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.col("end_char") - F.col("start_char")).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p2_found, p4_found, p4_rates, p5_found, p5_classes, p6_pack, p6_report, p7_mix, p7_shares, p7_shares_corpus, p8_found, p8_lengths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p2_found, p4_found, p4_rates, p5_found, p5_classes, p6_pack, p6_report, p7_mix, p7_shares, p7_shares_corpus, p7_shares_exact, p8_found, p8_lengths)}

@@ -288,6 +288,18 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
+def test_mix_keeps_the_corpus_size(spark):
+    """A source with one short text must not shrink the mixture; it gives what its repeats allow and the report says so."""
+    docs = [(i, "ab"[i % 2], 50) for i in range(400)] + [(900, "tiny", 20)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, tokens int")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 1), ("tiny", 0.2, 3)], "source string, target_share double, max_repeats int")
+    rep = {r.source: r for r in mixing.share_report(mixing.mix(df, targets), targets).collect()}
+    assert rep["tiny"].tokens == 60 and rep["tiny"].repeats == 3 and rep["tiny"].actual_share < 0.01
+    assert rep["a"].tokens == rep["b"].tokens and rep["a"].tokens >= 9900
+    exact = mixing.mix(df, targets, total="exact").agg(F.sum("tokens")).first()[0]
+    assert exact < 500
+
+
 # --- sentences
 
 
