@@ -31,6 +31,7 @@ def paper_arrays(papers: DataFrame) -> DataFrame:
         "author_tokens": some(F.transform(C.split_keep(F.col("authors"), ","), lambda x: F.lower(C.strip(x)))),
         "journal_tokens": some(F.filter(F.array(C.clean_journal(F.col("journal"))), lambda x: x.isNotNull())),
         "publisher_tokens": some(F.filter(F.array("publisher"), lambda x: x.isNotNull())),
+        "author_id_tokens": some(F.split("author_ids", " ")),
         "year_tokens": some(F.filter(F.array(C.year_bucket(F.col("year"))), lambda x: x.isNotNull())),
         **{f"no_{c}": C.missing_flag(F.col(c)).cast("double") for c in ("pages", "vol", "issue")},
     })
@@ -39,7 +40,7 @@ def paper_arrays(papers: DataFrame) -> DataFrame:
 def encoder(min_df: dict[str, int] = MIN_DF) -> Pipeline:
     """Binary presence of the frequent tokens of each field, in a fixed order of blocks; fitted vocabularies stay in the model."""
     stages = []
-    for field in ("title", "author", "journal", "publisher", "year"):
+    for field in ("title", "author", "journal", "publisher", "author_id", "year"):
         stages.append(CountVectorizer(inputCol=f"{field}_tokens", outputCol=f"{field}_vec", binary=True, minDF=float(min_df.get(field, 1)), vocabSize=VOCABULARY))
     stages.append(VectorAssembler(inputCols=[*[s.getOutputCol() for s in stages], "no_pages", "no_vol", "no_issue"], outputCol="features"))
     return Pipeline(stages=stages)

@@ -141,7 +141,7 @@ def ml_clf_wrap(spark, d):
 
 
 def _papers(spark, d):
-    p = R.clean_papers(t(spark, d, "papers_raw"))
+    p = R.clean_papers(t(spark, d, "papers_raw")).join(t(spark, d, "paper_authors").select("titleid", "author_ids"), "titleid", "left")
     return ML.paper_arrays(p.withColumn("label", (F.col("cites_per_year") > 2).cast("int")))
 
 

@@ -174,6 +174,28 @@ def test_learning(spark):
     assert counts[0] == counts[1]
 
 
+PAPER = "titleid string, authors string, journal string, publisher string, year string, pages string, vol string, issue string, author_ids string"
+
+
+def test_encoder_has_author_ids(spark):
+    """An author id of five papers is a feature, one of four is not; papers without ids are encoded all the same."""
+    df = spark.createDataFrame([(f"title {i}", None, None, None, "2015", None, None, None, ids) for i, ids in enumerate(["a b"] * 4 + ["a a", None])], PAPER)
+    model = ML.encoder().fit(p := ML.paper_arrays(df))
+    words = {s.getInputCol(): s.vocabulary for s in model.stages[:-1]}
+    assert words["author_id_tokens"] == ["a"] and words["year_tokens"] == ["2015"]
+    assert sorted(r.features.toArray().sum() for r in model.transform(p).collect()) == [4, 5, 5, 5, 5, 5]
+
+
+def test_papers_have_author_ids(spark, monkeypatch):
+    from citeloom.plans import features
+
+    text = ["titleid", "title_main", "authors", "journal", "conference", "source", "book", "publisher", "vol", "issue", "pages", "pubdate", "cited", "scrap_auth_id", "urlid", "_file"]
+    raw = [{c: None for c in text} | {"titleid": f"the effect of the light on the cells {i}", "pubdate": "2015/3/1", "cited": "Cited by 9", "_file": "f", "row_id": i, "_pos": i} for i in range(2)]
+    tables = {"papers_raw": spark.createDataFrame(raw, ", ".join([*(f"{c} string" for c in text), "row_id long", "_pos long"])), "paper_authors": spark.createDataFrame([(raw[0]["titleid"], "x y")], "titleid string, author_ids string")}
+    monkeypatch.setattr(features, "t", lambda spark, d, name: tables[name])
+    assert rows(features._papers(spark, "").select("row_id", "author_id_tokens")) == [(0, ["x", "y"]), (1, [])]
+
+
 def test_markup(spark):
     page = '<html><div class="gs_r"><h3 class="t">A &amp; b</h3><div><div>Journal</div><div>J <b>of</b> X</div></div><br></div><!-- <h3 class="t">no</h3> --><script>"<h3>"</script>'
     df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<h3 class=t>open")], "k int, p string")
