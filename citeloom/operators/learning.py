@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +21,8 @@ from citeloom.operators.text import MIN_DF
 from citeloom.sinks.files import shared_path
 
 VOCABULARY = 100_000
+#: Most rounds of boosting, and rounds without a lower error on held rows after which it stops.
+ROUNDS, PATIENCE = 100, 15
 
 
 def paper_arrays(papers: DataFrame) -> DataFrame:
@@ -204,14 +206,39 @@ def cv_search(df: DataFrame, components: str, k: int, label: str, key: str, alph
     return out
 
 
-def gbt_classifier(df: DataFrame, components: str, label: str, validation: str | None = None) -> PipelineModel:
-    g = GBTClassifier(featuresCol="features", labelCol=label, maxIter=10, maxDepth=3, seed=7)
-    if validation:
-        g = g.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[g]).fit(df.withColumn("features", array_to_vector(components)))
+def best_round(errors: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """Rounds up to the least error, and whether as many as `patience` without a lower one followed; later rounds don't count."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
-def gbt_regressor(df: DataFrame, components: str, target: str) -> PipelineModel:
+def boosted(gbt, train: DataFrame, held: DataFrame, *loss: str):
+    """Boosting stopped early by the loss on held rows, with patience; the validation column of Spark stops at the first round without gain.
+
+    Rounds don't depend on how many follow, so a longer fit starts with those of a shorter one and the best are fitted again.
+    """
+    if held.isEmpty():
+        return gbt.setMaxIter(ROUNDS).fit(train)
+    rounds = PATIENCE + 10
+    while True:
+        model = gbt.setMaxIter(rounds).fit(train)
+        best, stopped = best_round(list(model.evaluateEachIteration(held, *loss)))
+        if stopped or rounds == ROUNDS:
+            return model if best == rounds else gbt.setMaxIter(best).fit(train)
+        rounds = min(ROUNDS, 2 * rounds)
+
+
+def gbt_classifier(train: DataFrame, held: DataFrame, components: str, label: str) -> GBTClassificationModel:
+    g = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=3, seed=7)
+    return boosted(g, *(x.withColumn("features", array_to_vector(components)) for x in (train, held)))
+
+
+def gbt_regressor(train: DataFrame, held: DataFrame, components: str, target: str) -> GBTRegressionModel:
     """Boosted trees on the logarithm of the target plus one, so the squared error is that of logs."""
-    g = GBTRegressor(featuresCol="features", labelCol="_y", maxIter=10, maxDepth=3, seed=7)
-    return Pipeline(stages=[g]).fit(df.withColumn("features", array_to_vector(components)).withColumn("_y", F.log1p(target)))
+    g = GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=3, seed=7)
+    return boosted(g, *(x.withColumn("features", array_to_vector(components)).withColumn("_y", F.log1p(target)) for x in (train, held)), "squared")

@@ -145,14 +145,15 @@ def _papers(spark, d):
     return ML.paper_arrays(p.withColumn("label", (F.col("cites_per_year") > 2).cast("int")))
 
 
-def _components(spark, d, k=2):
-    """Encoded and projected papers, checkpointed as the learners read them many times."""
+def _components(spark, d, k=2, first_test=None):
+    """Encoded and projected papers, checkpointed as the learners read them many times; the SVD is fitted on those before first_test."""
     papers = checkpointed(_papers(spark, d))
     model = ML.encoder().fit(papers)
     vectors = model.transform(papers).select("row_id", "date", "label", "cites_per_year", "features")
     rows = ML.sparse_columns(vectors, "features")
     n = sum(len(m.vocabulary) for m in model.stages[:-1]) + 3
-    _, v = ML.truncated_svd(rows, n, k)
+    fitted = rows if first_test is None else R.split_by_date(rows, "date", first_test).where("part = 'train'")
+    _, v = ML.truncated_svd(fitted, n, k)
     return checkpointed(ML.project(rows, v))
 
 
@@ -189,18 +190,25 @@ def ml_predict(spark, d):
     return ML.ridge_score(c, "components", w).select("row_id", "score")
 
 
+def _split_components(spark, d, first_test="2018-07-01"):
+    return R.split_by_date(_components(spark, d, first_test=first_test), "date", first_test)
+
+
 @query()
 def ml_gbt_clf(spark, d):
-    c = _components(spark, d).withColumn("label", F.col("label").cast("double")).withColumn("held", F.col("row_id") % 5 == 0)
-    m = ML.gbt_classifier(c, "components", "label", "held")
+    """Split by date, classes at 10, SVD and trees of the earlier papers with the rare class resampled; the later ones stop the boosting."""
+    c = _split_components(spark, d).withColumn("label", (F.col("cites_per_year") > 10).cast("double"))
+    train = checkpointed(ML.oversample(c.where("part = 'train'"), "label", "row_id"))
+    m = ML.gbt_classifier(train, c.where("part = 'test'"), "components", "label")
     out = m.transform(c.withColumn("features", ML.array_to_vector("components")))
     return out.select("row_id", F.col("prediction").cast("int").alias("predicted"))
 
 
 @query()
 def ml_gbt_reg(spark, d):
-    c = _components(spark, d)
-    m = ML.gbt_regressor(c, "components", "cites_per_year")
+    """SVD and trees of the earlier papers; the later ones stop the boosting."""
+    c = _split_components(spark, d)
+    m = ML.gbt_regressor(c.where("part = 'train'"), c.where("part = 'test'"), "components", "cites_per_year")
     return m.transform(c.withColumn("features", ML.array_to_vector("components"))).select("row_id", F.expm1("prediction").alias("predicted"))
 
 

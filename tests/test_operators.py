@@ -196,6 +196,31 @@ def test_papers_have_author_ids(spark, monkeypatch):
     assert rows(features._papers(spark, "").select("row_id", "author_id_tokens")) == [(0, ["x", "y"]), (1, [])]
 
 
+def test_boosting_stops_early(spark):
+    assert ML.best_round([3, 2, 2.5, 1, 4, 4, 4], patience=3) == (4, True)
+    assert ML.best_round([3, 2, 2.5, 1], patience=3) == (4, False)
+    assert ML.best_round([1, 2, 2, 2, 0], patience=3) == (1, True)
+
+
+def test_gbt_clf_resamples_earlier_papers_only(spark, monkeypatch):
+    """Classes at 10; the fit gets equal classes of the earlier papers, the later ones as they are, and all are predicted."""
+    from citeloom.plans import features
+
+    data = [(i, f"{2015 + i // 30}-01-02", 20.0 if i % 10 == 0 else 5.0, [float(i % 10 == 0), float(i % 3)]) for i in range(150)]
+    c = spark.createDataFrame(data, "row_id long, date string, cites_per_year double, components array<double>").withColumn("date", F.col("date").cast("date")).withColumn("label", F.lit(1))
+    parts, asked, real = [], [], ML.gbt_classifier
+    monkeypatch.setattr(ML, "ROUNDS", 1)
+    monkeypatch.setattr(ML, "PATIENCE", -9)
+    monkeypatch.setattr(features, "checkpointed", lambda df: df)
+    monkeypatch.setattr(features, "_components", lambda spark, d, k=2, first_test=None: asked.append(first_test) or c)
+    monkeypatch.setattr(ML, "gbt_classifier", lambda train, held, *a: parts.extend([train, held]) or real(train, held, *a))
+    got = {r.row_id: r.predicted for r in features.ml_gbt_clf(spark, "").collect()}
+    assert got == {i: int(i % 10 == 0) for i in range(150)} and asked == ["2018-07-01"]
+    counts = [{r.label: r["count"] for r in p.groupBy("label").count().collect()} for p in parts]
+    assert counts == [{0.0: 108, 1.0: 108}, {0.0: 27, 1.0: 3}]
+    assert max(r.row_id for r in parts[0].collect()) < min(r.row_id for r in parts[1].collect())
+
+
 def test_markup(spark):
     page = '<html><div class="gs_r"><h3 class="t">A &amp; b</h3><div><div>Journal</div><div>J <b>of</b> X</div></div><br></div><!-- <h3 class="t">no</h3> --><script>"<h3>"</script>'
     df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<h3 class=t>open")], "k int, p string")
