@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,13 +26,26 @@ from citeloom.session import bounded_rows, checkpointed
 
 BLOCK_ITEMS = 4000
 MAX_PACKS = 1000
-NODES = 400  # fillings tried around one item
-SEARCH = 4_000  # nodes of the branch and bound of one block
-BRANCHES = 4
-EXACT = 6  # fillings without waste that are looked for
 FULL = 0.97  # containers below this are packed again
 ROUNDS = 3
 
+#: Sizes of a container with their numbers, greatest first.
+Filling = tuple[tuple[int, int], ...]
+
+
+@dataclass(frozen=True)
+class Effort:
+    """How far a block is searched; None is without bound."""
+
+    search: int | None = 40_000  # containers filled in the branch and bound of one block
+    nodes: int | None = 400  # steps taken to find the fillings around one item
+    branches: int | None = 4  # fillings tried around one item
+    exact: int | None = 6  # fillings without waste after which no others are looked for
+
+
+#: Finds the least number of containers of a block, however long it takes.
+EXHAUSTIVE = Effort(None, None, None, None)
+
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Best-fit decreasing; positions of the items in each container."""
@@ -48,135 +63,174 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """A lower bound: the sum, and what items that exclude each other leave for those that are not small."""
+    ordered = sorted(sizes)
+    ahead = [0]
+    for s in ordered:
+        ahead.append(ahead[-1] + s)
+    n, half = len(ordered), bisect.bisect_right(ordered, capacity // 2)
+    best = math.ceil(ahead[-1] / capacity)
+    for small in {0, *ordered[:half]}:
+        alone = bisect.bisect_right(ordered, capacity - small)  # these share with nothing of at least this size
+        low = bisect.bisect_left(ordered, small)
+        large = alone - min(half, alone)
+        room = large * capacity - (ahead[alone] - ahead[min(half, alone)])
+        best = max(best, n - alone + large + max(0, math.ceil((ahead[half] - ahead[low] - room) / capacity)))
+    return best
+
+
 class Multiset:
     """Sizes left, as sorted distinct sizes with counts."""
 
     def __init__(self, sizes: list[int]):
-        self.count: dict[int, int] = {}
-        for s in sizes:
-            self.count[s] = self.count.get(s, 0) + 1
+        self.count: dict[int, int] = dict(Counter(sizes))
         self.sizes = sorted(self.count)
 
-    def remove(self, s: int) -> None:
-        self.count[s] -= 1
+    def remove(self, s: int, n: int = 1) -> None:
+        self.count[s] -= n
         if not self.count[s]:
             del self.count[s]
             self.sizes.pop(bisect.bisect_left(self.sizes, s))
 
-    def add(self, s: int) -> None:
+    def add(self, s: int, n: int = 1) -> None:
         if s not in self.count:
             bisect.insort(self.sizes, s)
-        self.count[s] = self.count.get(s, 0) + 1
+        self.count[s] = self.count.get(s, 0) + n
 
 
-def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether b has at least as many items as a needs, each as large: then a is never better."""
-    return len(b) <= len(a) and sum(b) >= sum(a) and all(y >= x for x, y in zip(a, b))
+def dominated(a: Filling, b: Filling) -> bool:
+    """Whether the items of a fit, in groups, into the items of b; then a is never better. Items that both have are left out."""
+    x, y = Counter(dict(a)), Counter(dict(b))
+    rooms = sorted((y - x).elements())
+    for s in sorted((x - y).elements(), reverse=True):
+        at = bisect.bisect_left(rooms, s)
+        if at == len(rooms):
+            return False
+        bisect.insort(rooms, rooms.pop(at) - s)
+    return True
 
 
-def fillings(left: Multiset, space: int, most_waste: int) -> list[tuple[int, ...]]:
-    """Undominated sets of sizes that fit, least waste first; only those that waste no more than allowed, but at least one."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    nodes = exact = 0
+def fillings(left: Multiset, space: int, most_waste: int, effort: Effort = Effort()) -> list[Filling]:
+    """Undominated sets of sizes that fit, least waste first; only those that waste no more than allowed, but at least one.
 
-    def go(room: int, top: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal nodes, exact
-        nodes += 1
-        i = bisect.bisect_right(left.sizes, min(room, top)) - 1
-        if i < 0:
-            found.append((room, chosen))
+    Depth first over distinct sizes with their numbers, on an own stack, so a container of many small items is no deeper than it
+    has sizes; a branch ends where what is smaller can't use enough of the room.
+    """
+    sizes, have = left.sizes, left.count
+    fits = bisect.bisect_right(sizes, space)
+    smaller = [0]  # sum of all items below each size
+    for s in sizes[:fits]:
+        smaller.append(smaller[-1] + s * have[s])
+    found: list[tuple[int, Filling]] = []
+    nodes = exact = 0
+    room, at = space, fits - 1
+    stack: list[list[int]] = []  # place of a size, its number, most of it, room before it
+    while True:
+        while at >= 0:
+            nodes += 1
+            s = sizes[at]
+            n = min(room // s, have[s])
+            stack.append([at, n, n, room])
+            room -= n * s
+            at = min(at, bisect.bisect_right(sizes, room)) - 1
+        if not any(n < most and sizes[k] <= room for k, n, most, _ in stack):  # else one more would fit
+            found.append((room, tuple((sizes[k], n) for k, n, _, _ in stack if n)))
             exact += room == 0
-            return exact >= EXACT
-        for k in range(i, -1, -1):
-            s = left.sizes[k]
-            if left.count[s] <= chosen.count(s):
+        if exact and effort.exact is not None and exact >= effort.exact or effort.nodes is not None and nodes > effort.nodes:
+            break
+        while stack:
+            k, n, most, before = stack[-1]
+            room = before - (n - 1) * sizes[k]
+            if not n or (found and room - smaller[k] > max(most_waste, 0)):  # fewer leave more room than what is smaller can use
+                stack.pop()
                 continue
-            if go(room - s, s, (*chosen, s)) or nodes > NODES:
-                return True
-        if not found or room < found[0][0]:
-            found.append((room, chosen))
-        return False
-
-    go(space, space, ())
-    found.sort(key=lambda x: (x[0], len(x[1])))
-    out: list[tuple[int, ...]] = []
+            stack[-1][1] = n - 1
+            at = min(k, bisect.bisect_right(sizes, room)) - 1
+            break
+        else:
+            break
+    found.sort(key=lambda x: (x[0], sum(n for _, n in x[1])))
+    out: list[Filling] = []
     for waste, f in found:
         if out and (waste > most_waste or any(dominated(f, o) for o in out)):
             continue
         out.append(f)
-        if len(out) == BRANCHES:
+        if len(out) == effort.branches:
             break
     return out
 
 
-def complete(sizes: list[int], capacity: int) -> list[list[int]]:
+def complete(sizes: list[int], capacity: int, effort: Effort = Effort()) -> list[list[int]]:
     """Bin completion over one block; positions of the items in each container."""
     if not sizes:
         return []
     best = best_fit(sizes, capacity)
-    bound = math.ceil(sum(sizes) / capacity)
+    bound = least_bins(sizes, capacity)
     if len(best) <= bound:
         return best
-    budget = SEARCH
+    budget = math.inf if effort.search is None else effort.search
     left = Multiset(sizes)
-    total = sum(sizes)
-    chosen: list[tuple[int, ...]] = []
-    limit = len(best) - 1  # containers that a better solution may have
-    solution: list[tuple[int, ...]] | None = None
-    # depth-first over (largest item, filling) with an own stack, as blocks are deep
-    stack: list[list] = []
-
-    def options() -> list[tuple[int, ...]]:
+    spare = -sum(sizes)  # with the capacity of the containers that a better solution may have: the waste that it allows
+    chosen: list[Filling] = []
+    wasted = 0
+    limit = len(best) - 1
+    solution: list[Filling] | None = None
+
+    def put(f: Filling, sign: int) -> None:
+        nonlocal wasted
+        for s, n in f:
+            (left.remove if sign > 0 else left.add)(s, n)
+        wasted += sign * (capacity - sum(s * n for s, n in f))
+
+    def options() -> list[Filling]:
         big = left.sizes[-1]
         left.remove(big)
-        allowed = limit * capacity - total - sum(capacity - sum(c) for c in chosen)
-        out = [(big, *f) for f in fillings(left, capacity - big, max(allowed, -1)) if capacity - big - sum(f) <= allowed]
+        allowed = limit * capacity + spare - wasted
+        out = []
+        for f in fillings(left, capacity - big, max(allowed, -1), effort):
+            if capacity - big - sum(s * n for s, n in f) <= allowed:
+                same = next((n for s, n in f if s == big), 0)
+                out.append(((big, 1 + same), *[x for x in f if x[0] != big]))
         left.add(big)
         return out
 
-    stack.append([options(), 0])
+    # depth first over (largest item, filling) with an own stack, as blocks are deep
+    stack: list[list] = [[options(), 0]]
     while stack and budget > 0:
         budget -= 1
         todo, at = stack[-1]
         if at >= len(todo):
             stack.pop()
             if chosen and stack:
-                for s in chosen.pop():
-                    left.add(s)
+                put(chosen.pop(), -1)
             continue
         stack[-1][1] += 1
-        pick = todo[at]
-        for s in pick:
-            left.remove(s)
-        chosen.append(pick)
+        chosen.append(todo[at])
+        put(todo[at], 1)
         if not left.sizes:
             solution = list(chosen)
             limit = len(solution) - 1
             if len(solution) <= bound:
                 break
-            for s in chosen.pop():
-                left.add(s)
-            continue
-        if len(chosen) >= limit:
-            for s in chosen.pop():
-                left.add(s)
+        elif len(chosen) < limit:
+            stack.append([options(), 0])
             continue
-        stack.append([options(), 0])
+        put(chosen.pop(), -1)
     if solution is None:
         return best
     where: dict[int, list[int]] = {}
     for i, s in enumerate(sizes):
         where.setdefault(s, []).append(i)
-    return [[where[s].pop() for s in c] for c in solution]
+    return [[where[s].pop() for s, n in c for _ in range(n)] for c in solution]
 
 
-def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack_block(pdf: pd.DataFrame, effort: Effort) -> pd.DataFrame:
     pdf = pdf.sort_values(["tokens", "item", "piece_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    capacity = int(pdf["capacity"].iloc[0])
-    bins = complete([int(x) for x in pdf["tokens"]], capacity)
+    tokens = [int(x) for x in pdf["tokens"]]
     number, load = [0] * len(pdf), [0] * len(pdf)
-    for b, items in enumerate(bins):
-        filled = int(pdf["tokens"].iloc[items].sum())
+    for b, items in enumerate(complete(tokens, int(pdf["capacity"].iloc[0]), effort)):
+        filled = sum(tokens[i] for i in items)
         for i in items:
             number[i], load[i] = b, filled
     return pdf.assign(container=pd.Series(number, dtype="int32"), filled=pd.Series(load, dtype="int32"))
@@ -185,10 +239,11 @@ def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
 SCHEMA = "pack_name string, capacity int, item long, piece_no int, start_token long, tokens int, block long, container int, filled int"
 
 
-def pack(items: DataFrame, packs: DataFrame, item: str = "doc_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
+def pack(items: DataFrame, packs: DataFrame, item: str = "doc_id", block_items: int = BLOCK_ITEMS, effort: Effort = Effort()) -> DataFrame:
     """(pack_name, container_id, item, piece_no, start_token, tokens): a place for every item in containers of every pack.
 
     items: (item, tokens). ``block_items`` bounds what one task packs at once; the packing gets no worse than best-fit in a block.
+    ``effort`` bounds the search of a block; EXHAUSTIVE proves the least number of containers of each block.
     """
     sizes = [(r[0], r[1]) for r in bounded_rows(packs.select("pack_name", "capacity_tokens"), MAX_PACKS, "pack sizes") if r[1] and r[1] > 0]
     each = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in sizes]) if sizes else F.array().cast("array<struct<n: string, c: int>>")
@@ -199,6 +254,7 @@ def pack(items: DataFrame, packs: DataFrame, item: str = "doc_id", block_items:
     todo = pieces.select("pack_name", "capacity", "item", "piece_no", start.alias("start_token"), F.least(F.col("capacity").cast("long"), F.col("_all") - start).cast("int").alias("tokens"))
     todo = checkpointed(todo)
     done: list[DataFrame] = []
+    run = lambda pdf: _pack_block(pdf, effort)
     alone = todo.where("tokens = capacity")
     # numbered by row, as rows may repeat; the table is checkpointed, so the numbers are the same at each read
     done.append(alone.select("*", F.concat_ws("-", "pack_name", F.lit("full"), F.monotonically_increasing_id()).alias("container_id")))
@@ -211,7 +267,7 @@ def pack(items: DataFrame, packs: DataFrame, item: str = "doc_id", block_items:
         blocks = {n: max(1, math.ceil(c / block_items)) for n, c in counts.items()}
         n_blocks = F.create_map(*[x for n, b in blocks.items() for x in (F.lit(n), F.lit(b))])[F.col("pack_name")]
         keyed = todo.withColumn("block", F.pmod(F.xxhash64("item", "piece_no", F.lit(r)), n_blocks))
-        packed = checkpointed(keyed.groupBy("pack_name", "block").applyInPandas(_pack_block, SCHEMA))
+        packed = checkpointed(keyed.groupBy("pack_name", "block").applyInPandas(run, SCHEMA))
         last = r == ROUNDS - 1 or counts == before or all(b == 1 for b in blocks.values())
         ready = packed if last else packed.where(F.col("filled") >= FULL * F.col("capacity"))
         name = F.concat_ws("-", "pack_name", F.lit(f"r{r}"), "block", "container")
@@ -226,8 +282,8 @@ def pack(items: DataFrame, packs: DataFrame, item: str = "doc_id", block_items:
     return out.select("pack_name", "container_id", F.col("item").alias(item), "piece_no", "start_token", "tokens")
 
 
-def pack_texts(docs: DataFrame, packs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    return pack(token_counts(docs, text, [key], vocabulary), packs, key)
+def pack_texts(docs: DataFrame, packs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, **options) -> DataFrame:
+    return pack(token_counts(docs, text, [key], vocabulary), packs, key, **options)
 
 
 def pack_report(packed: DataFrame, packs: DataFrame) -> DataFrame:

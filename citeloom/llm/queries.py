@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.format_duplicates import duplicate_rows, format_duplicates
-from citeloom.llm.mixing import mix_texts, share_report
+from citeloom.llm.mixing import largest_deviation, mix_texts, share_report
 from citeloom.llm.name_variants import name_variants
 from citeloom.llm.packing import pack_report, pack_texts
 from citeloom.llm.sentences import split_sentences
@@ -61,14 +61,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(p7_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
-def p7_shares_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = read_table(spark, sf_dir, "mix_targets")
-    return share_report(mix_texts(read_table(spark, sf_dir, "documents"), targets, total="corpus"), targets)
+def p7_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is off its share at worst, in blocks."""
+    return largest_deviation(p7_mix(spark, sf_dir))
+
+
+def p7_mix_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_texts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), total="exact")
 
 
 def p7_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = read_table(spark, sf_dir, "mix_targets")
-    return share_report(mix_texts(read_table(spark, sf_dir, "documents"), targets, total="exact"), targets)
+    return share_report(p7_mix_exact(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +83,4 @@ def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.col("end_char") - F.col("start_char")).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p2_found, p4_found, p4_rates, p5_found, p5_classes, p6_pack, p6_report, p7_mix, p7_shares, p7_shares_corpus, p7_shares_exact, p8_found, p8_lengths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p2_found, p4_found, p4_rates, p5_found, p5_classes, p6_pack, p6_report, p7_mix, p7_shares, p7_deviation, p7_mix_exact, p7_shares_exact, p8_found, p8_lengths)}

@@ -209,6 +209,44 @@ def test_bin_completion():
     assert len(packing.complete(tight, 100)) == 4
 
 
+def least_brute(sizes, cap):
+    best = [len(sizes)]
+
+    def go(i, loads):
+        if len(loads) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(loads)
+            return
+        for k, load in enumerate(loads):
+            if load + sizes[i] <= cap and load not in loads[:k]:
+                go(i + 1, [*loads[:k], load + sizes[i], *loads[k + 1 :]])
+        go(i + 1, [*loads, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_exhaustive_search_is_optimal():
+    rnd, better = random.Random(7), 0
+    for _ in range(600):
+        cap = rnd.choice([20, 50, 100])
+        sizes = sorted((rnd.randint(max(1, cap // 6), cap // 2) for _ in range(rnd.randint(1, 11))), reverse=True)
+        least = least_brute(sizes, cap)
+        assert packing.least_bins(sizes, cap) <= least == len(packing.complete(sizes, cap, packing.EXHAUSTIVE)) <= len(packing.complete(sizes, cap))
+        better += len(packing.best_fit(sizes, cap)) > least
+    assert better > 10
+
+
+@pytest.mark.parametrize("effort", [packing.Effort(), packing.Effort(search=200, nodes=None, exact=1)])
+def test_many_small_items_in_a_container(effort):
+    rnd = random.Random(3)
+    for sizes, cap in (([3] * 2003, 3005), ([3] * 20_000, 3005), ([3] * 20_000, 59_999), ([rnd.randint(1, 9) for _ in range(20_000)], 20_001), ([2] * 9_000 + [5] * 3_001, 9_999)):
+        bins = packing.complete(sizes, cap, effort)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= cap for b in bins)
+        assert len(bins) <= len(packing.best_fit(sizes, cap))
+
+
 def test_pack(spark):
     rnd = random.Random(2)
     items = [(i, rnd.randint(1, 700)) for i in range(400)] + [(400, 256), (401, 0), (402, None), (500, 5), (500, 5), (501, 256), (501, 256), (403, 10_000)]
@@ -241,18 +279,19 @@ def test_pack(spark):
 
 
 def test_schedule_deviation():
+    """Blocks of unequal size: at no slot is a source a whole block, the largest, off its share."""
     rnd = random.Random(3)
-    for _ in range(20):
-        blocks = {f"s{i}": rnd.randint(1, 60) for i in range(rnd.randint(1, 7))}
+    for _ in range(100):
+        blocks = {f"s{i}": [(j, rnd.choice([1, 7, rnd.randint(1, 100)])) for j in range(rnd.randint(1, 60))] for i in range(rnd.randint(1, 9))}
         plan = mixing.schedule(blocks)
-        n = sum(blocks.values())
-        assert Counter(s for _, s, _ in plan) == Counter(blocks) and [x[0] for x in plan] == list(range(n))
-        done = Counter()
-        for slot, s, j in plan:
-            assert j == done[s]
-            done[s] += 1
-            for name, k in blocks.items():
-                assert abs(done[name] - k * (slot + 1) / n) < 1
+        size = {s: sum(n for _, n in b) for s, b in blocks.items()}
+        largest, total = max(n for b in blocks.values() for _, n in b), sum(size.values())
+        assert [x[0] for x in plan] == list(range(len(plan))) and all([j for _, x, j in plan if x == s] == [j for j, _ in b] for s, b in blocks.items())
+        done, seen = Counter(), 0
+        for _, s, j in plan:
+            done[s] += blocks[s][j][1]
+            seen += blocks[s][j][1]
+            assert all(abs(done[x] * total - size[x] * seen) < largest * total for x in blocks)
 
 
 def test_quotas():
@@ -265,6 +304,36 @@ def test_quotas():
     assert mixing.quotas(targets, {}) == {}
 
 
+def off_share(out):
+    """Most tokens by which a source is off its share between two slots, and the largest block."""
+    total = sum(r.tokens for r in out)
+    size, blocks = Counter(), defaultdict(Counter)
+    for r in out:
+        size[r.source] += r.tokens
+        blocks[r.slot][r.source] += r.tokens
+    assert all(len(b) == 1 for b in blocks.values())
+    done, most, seen = Counter(), 0, 0
+    for slot in sorted(blocks):
+        done += blocks[slot]
+        seen += sum(blocks[slot].values())
+        most = max(most, *(abs(done[s] - size[s] / total * seen) for s in size))
+    return most, max(sum(b.values()) for b in blocks.values())
+
+
+def test_mix_with_texts_longer_than_blocks(spark):
+    """Long texts pay for the room they take: the deviation stays below the largest block."""
+    rnd = random.Random(11)
+    words = "the film grows on cold glass under dry air".split()
+    docs = [(i, rnd.choice("aabbbc"), " ".join(rnd.choice(words) for _ in range(int(rnd.paretovariate(0.9) * 20) % 9000 + 1))) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    for total in ("corpus", "exact"):
+        out = mixing.mix_texts(df, targets, total=total).collect()
+        most, largest = off_share(out)
+        assert max(r.tokens for r in out) > mixing.MIN_BLOCK
+        assert 0 < most < largest <= mixing.MIN_BLOCK + max(r.tokens for r in out)
+
+
 def test_mix(spark):
     rnd = random.Random(4)
     docs = [(i, "abc"[min(2, int(rnd.random() ** 2 * 4))], rnd.randint(1, 90)) for i in range(900)] + [(901, "zz", 50), (902, None, 5), (903, "a", 0), (904, "a", None)]
@@ -280,11 +349,12 @@ def test_mix(spark):
         assert abs(shares[s] / total - w / 0.9) < 0.02
     uses = Counter((r.source, r.doc_id) for r in out)
     assert all(uses[k] <= {"a": 1, "b": 2, "c": 4}[k[0]] for k in uses)
-    done, block = Counter(), max(mixing.MIN_BLOCK, -(-total // 64))
-    for r in sorted(out, key=lambda r: (r.slot, r.source_start)):
-        done[r.source] += r.tokens
+    most, largest = off_share(out)
+    assert most < largest < mixing.MIN_BLOCK + 90
+    told = mixing.largest_deviation(mixed).collect()
+    assert {r.block_tokens for r in told} == {largest} and abs(max(r.deviation_tokens for r in told) - most) < 1e-6
     rep = {r.source: r for r in mixing.share_report(mixed, targets).collect()}
-    assert rep["gone"].tokens == 0 and rep["gone"].actual_share == 0 and rep["c"].repeats <= 4 and block > 0
+    assert rep["gone"].tokens == 0 and rep["gone"].actual_share == 0 and rep["c"].repeats <= 4
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
