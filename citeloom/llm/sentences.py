@@ -2,13 +2,14 @@
 
 Ordered break and no-break rules, pairs of regular expressions for the text before and after a position, are organised as
 cascading tables: the table of the language, then those of its script, then the general one. At each candidate position the
-first rule that matches decides. Quotations and brackets are balanced beforehand; positions inside them are no candidates.
+first rule that matches decides; the pattern before it is matched backwards from there, so no rule has a window. Quotations and
+brackets are balanced beforehand within their paragraph, however long they are; positions inside them are no candidates.
 
 The declared language only chooses between the languages of a script: the script is read from the text at the position, so a
 wrong or missing language, or several in one text, do no harm.
 
 Line breaks: a blank line always ends a unit; a single one is space if the text is hard-wrapped there (the next word would not
-have fitted), otherwise it ends a unit, so that headings and list entries stand alone.
+have fitted into the width of the text's own lines), otherwise it ends a unit, so that headings and list entries stand alone.
 
 Defined results: NULL, empty and blank texts have no row; each non-blank character lies in exactly one unit; texts of any
 length are taken whole; repeated documents give repeated rows.
@@ -17,7 +18,9 @@ length are taken whole; repeated documents give repeated rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -29,10 +32,9 @@ from citeloom.session import spread
 OPEN = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "“": "”", "«": "»", "„": "“”", "‹": "›", "【": "】", "《": "》"}
 CLOSE = set("".join(OPEN.values())) | set("\"'’")
 MARKS = regex.compile(r"[()\[\]（）「」『』“”«»„‹›【】《》\"]")
-TERMINATOR = regex.compile(r"\.{2,}|…+|[!?！？؟]+|[.。｡．।॥;]")
-#: A quotation or bracket that runs on for longer than this is taken as one that was never closed.
-SPAN_LIMIT = 600
-SOFT_WIDTH = 120
+#: A full stop within a word or number ends nothing in any table; a semicolon ends a question in Greek only.
+TERMINATOR = regex.compile(r"\.+(?![\p{Ll}\p{N}.])|…+|[!?！？؟]+|[｡．。।॥]")
+WITH_GREEK = regex.compile(TERMINATOR.pattern + "|;")
 
 # Abbreviations that need a following word or number; fixed values.
 TITLES = {
@@ -59,7 +61,7 @@ def _any(words: str) -> str:
 
 
 def _rules(*pairs: tuple[bool, str, str]) -> list:
-    return [(b, regex.compile(rf"(?:{x})\Z") if x else None, regex.compile(y) if y else None) for b, x, y in pairs]
+    return [(b, regex.compile(rf"(?r)(?:{x})").match if x else None, regex.compile(y).match if y else None) for b, x, y in pairs]
 
 
 S = r"[\s\p{Z}]"
@@ -130,153 +132,185 @@ UNCASED = _rules(
     (True, r"\p{L}[.．][”’」』）)»\"]*", r"[\p{Lo}\p{Lu}“「『«]"),
     (False, "", ""),
 )
-CASCADE = {"Latin": ("en", "de", "fr", "es"), "Cyrillic": ("ru",), "Greek": ("el",), "Han": ("zh",), "Kana": ("ja",), "Hangul": ("ko",), "Arabic": ("ar",), "Devanagari": ("hi",), "Thai": ("th",)}
+CASCADE = {"Latin": ("en", "de", "fr", "es"), "Cyrillic": ("ru",), "Greek": ("el",), "Han": ("zh", "ja"), "Kana": ("ja",), "Hangul": ("ko",), "Arabic": ("ar",), "Devanagari": ("hi",), "Thai": ("th",)}
 HAS_CASE = {"Latin", "Cyrillic", "Greek"}
 #: First and last code points of the letters of each script.
 RANGES = (
     (0x0041, 0x024F, "Latin"), (0x1E00, 0x1EFF, "Latin"), (0x0370, 0x03FF, "Greek"), (0x1F00, 0x1FFF, "Greek"), (0x0400, 0x052F, "Cyrillic"), (0x0600, 0x06FF, "Arabic"), (0x0750, 0x077F, "Arabic"),
     (0x0900, 0x097F, "Devanagari"), (0x0E00, 0x0E7F, "Thai"), (0x1100, 0x11FF, "Hangul"), (0xAC00, 0xD7AF, "Hangul"), (0x3040, 0x30FF, "Kana"), (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"), (0xF900, 0xFAFF, "Han"),
 )
+SCRIPTS = (None, *CASCADE)
+SCRIPT_OF = np.zeros(0x10000, np.uint8)
+for _lo, _hi, _s in RANGES:
+    SCRIPT_OF[_lo : _hi + 1] = [SCRIPTS.index(_s) if c > 0x02FF or chr(c).isalpha() else 0 for c in range(_lo, _hi + 1)]
 ABBREVIATIONS = frozenset(w.lower() for t in (TITLES, NUMBERED) for ws in t.values() for w in ws.split())
-PLAIN_NEXT = regex.compile(rf"{S}+[\"“„«(¿¡]*\p{{Lu}}")
+PLAIN_NEXT = regex.compile(rf"{S}+[\"“„«(¿¡]*\p{{Lu}}").match
+PLAIN_WORD = regex.compile(r"(?r)([^\W\d_]{4,})[.!?…\"'”’»)\]]+").match
 THAI = regex.compile(r"\p{Thai}")
 BULLET = regex.compile(rf"{S}*(?:[-–—*•‣◦▪·●○■]{S}|[(\[]?(?:\p{{N}}{{1,3}}|[a-zA-Z])\){S}|\p{{N}}{{1,3}}、)")
 NUMBER_BULLET = regex.compile(rf"{S}*\p{{N}}{{1,3}}\.{S}")
 ENDED = regex.compile(rf"[.!?…。｡！？؟।॥;][\"'”’»)\]）」』“]*{S}*\Z")
-KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 LINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 BREAK_RUN = regex.compile(r"[^\S\n\r\x0b\x0c\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x85  ])[\s]*")
 THAI_SPACE = regex.compile(r"(?<=[\p{Thai}”\"»)%])[\s\p{Z}]+(?=[\p{Thai}“\"«(])")
-SCAN_BACK = 64
+FIRST_WORD = regex.compile(r"\S+").match
+GOES_ON = regex.compile(r"[\"'“„«(]*\p{Ll}|[!?;:»]").match
+CLOSED_UP = frozenset("()[]{}<>“”„«»‹›‘’'\"-–—/=")
 
 
-def _script(text: str, at: int) -> str:
-    """Script of the last letter before a position; Japanese if kana stand near Han."""
-    for i in (*range(at - 1, max(-1, at - SCAN_BACK - 1), -1), *range(at, min(len(text), at + SCAN_BACK))):
-        c = text[i]
-        if c < "A" or not (c.isalpha() or c > "\u02ff"):
-            continue
-        o = ord(c)
-        for lo, hi, s in RANGES:
-            if lo <= o <= hi:
-                return "Kana" if s == "Han" and KANA.search(text, max(0, at - SCAN_BACK), at) else s
-    return "Latin"
+def _scripts(text: str, places: list[int]) -> list[str]:
+    """Script of the last letter before each place, or of the first one after it; letters of no known script don't count."""
+    if text.isascii():
+        return ["Latin"] * len(places)
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+    kind = SCRIPT_OF[codes]
+    at = np.flatnonzero(kind)
+    if not len(at):
+        return ["Latin"] * len(places)
+    return [SCRIPTS[k] for k in kind[at[np.maximum(np.searchsorted(at, places) - 1, 0)]]]
 
 
 def _spans(text: str) -> tuple[list[tuple[int, int]], set[int]]:
-    """Balanced quotations and brackets within paragraphs; the positions of their closing marks."""
-    spans, stack = [], []
-    last_para = 0
-    for m in MARKS.finditer(text):
+    """Balanced quotations and brackets within paragraphs; the positions of their closing marks.
+
+    A straight quote closes an open one unless white space stands before it; it opens one unless white space stands after it. One
+    that opens again takes the place of an open one that nothing has closed.
+    """
+    marks = list(MARKS.finditer(text))
+    if not marks:
+        return [], set()
+    spans: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    waiting: dict[str, list[int]] = {}  # for each closing mark the places in the stack that it would close
+    para, last = text.find("\n\n"), len(text)
+
+    def drop(k: int) -> None:
+        """Forget what is open from place k of the stack on."""
+        while len(stack) > k:
+            c, _ = stack.pop()
+            for x in OPEN.get(c, c):
+                waiting[x].pop()
+
+    def push(c: str, i: int) -> None:
+        for x in OPEN.get(c, c):
+            waiting.setdefault(x, []).append(len(stack))
+        stack.append((c, i))
+
+    for m in marks:
         i, c = m.start(), m.group()
-        if stack and "\n\n" in text[last_para:i]:
-            stack = []
-        last_para = i
+        if 0 <= para < i:
+            drop(0)
+            at = text.rfind("\n\n", para, i)
+            para = text.find("\n\n", max(at, para) + 1)
+            while 0 <= para < i:
+                para = text.find("\n\n", para + 1)
+        opens = c in OPEN
         if c == '"':
-            k = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == '"'), None)
-            if k is None:
-                stack.append((c, i))
-            else:
-                spans.append((stack[k][1], i))
-                del stack[k:]
-            continue
-        k = next((n for n in range(len(stack) - 1, -1, -1) if c in OPEN.get(stack[n][0], "")), None)
-        if k is not None:
+            opens = i + 1 < last and not text[i + 1].isspace()
+            closes = i > 0 and not text[i - 1].isspace()
+            if not closes and waiting.get(c):
+                drop(waiting[c][-1])
+            if not closes and not opens:
+                continue
+        if waiting.get(c) and (c != '"' or closes):
+            k = waiting[c][-1]
             spans.append((stack[k][1], i))
-            del stack[k:]
-        elif c in OPEN:
-            stack.append((c, i))
-        if len(stack) > 64:  # marks that are never closed
-            del stack[:32]
-    spans = [(a, b) for a, b in spans if b - a <= SPAN_LIMIT]
+            drop(k)
+        elif opens and not (c == '"' and closes and text[i - 1] not in CLOSED_UP and text[i - 1].isalnum()):
+            push(c, i)
     return spans, {b for _, b in spans}
 
 
+@lru_cache(maxsize=4096)
+def _table(script: str, lang: str | None, small: bool) -> list:
+    """The rules for a script in the order in which they are asked."""
+    tables = CASCADE[script]
+    if lang in tables:
+        tables = (lang, *[t for t in tables if t != lang])
+    return [r for table in (*[LANGUAGE[t] for t in tables], (SMALL if small else CASED) if script in HAS_CASE else UNCASED) for r in table]
+
+
 def _decide(text: str, at: int, script: str, lang: str | None, small: bool) -> bool:
-    before, tables = text[max(0, at - SCAN_BACK) : at], CASCADE[script]
     # what no rule of any table but the last ones can match: a whole word that is no abbreviation, and a capital next
     if script in HAS_CASE:
-        if PLAIN_NEXT.match(text, at):
-            word = before.split()[-1].rstrip(".!?…\"'”’»)]").lstrip("\"'“‘«„([")
-            if len(word) > 3 and word.isalpha() and word.lower() not in ABBREVIATIONS:
+        if PLAIN_NEXT(text, at) and (m := PLAIN_WORD(text, 0, at)):
+            i = m.start()
+            if (not i or text[i - 1].isspace() or text[i - 1] in "\"'“‘«„([") and m[1].lower() not in ABBREVIATIONS:
                 return True
-    elif before[-1] in "。！？" and text[at] not in " \t\n\xa0,،，、:：)]）»–—":
+    elif text[at - 1] in "。！？" and text[at] not in " \t\n\xa0,،，、:：)]）»–—":
         return True
-    if lang in tables:
-        tables = (lang, *[t for t in tables if t != lang])
-    for table in (*[LANGUAGE[t] for t in tables], (SMALL if small else CASED) if script in HAS_CASE else UNCASED):
-        for is_break, x, y in table:
-            if (y is None or y.match(text, at)) and (x is None or x.search(before)):
-                return is_break
+    for is_break, x, y in _table(script, lang, small):
+        if (y is None or y(text, at)) and (x is None or x(text, 0, at)):
+            return is_break
     return False
 
 
 def _newlines(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, hard) of each run of line breaks."""
-    out = []
+    """(start, end, hard) of each run of line breaks.
+
+    The text is wrapped if its lines break within sentences: where a small letter follows a line without an end, or the next
+    word would not have fitted into a line without an end that is not itself the widest, or if at least half of the lines near
+    the greatest width have no end. Paragraphs on lines of their own end in marks, whatever their length.
+    """
     runs = list(BREAK_RUN.finditer(text))
     if not runs:
-        return out
+        return []
     edges = [0, *[x for m in runs for x in m.span()], len(text)]
     lines = [(edges[i], edges[i + 1]) for i in range(0, len(edges), 2)]
     width = max(b - a for a, b in lines)
+    dense = [x in ("Han", "Kana") for x in _scripts(text, [b for _, b in lines])]
+    out: list[tuple[int, int, bool] | None] = []
+    single = []  # place, length of the line, whether it has an end, is full, goes on
     for n, m in enumerate(runs):
         (a, b), (c, d) = lines[n], lines[n + 1]
-        if c >= d or a >= b or len(LINE.findall(m.group())) > 1:
-            out.append((*m.span(), True))
-            continue
-        nxt = text[c:d]
-        if BULLET.match(nxt):
-            out.append((*m.span(), True))
-            continue
-        word = regex.match(r"\S+", nxt).group()
-        script = _script(text, b)
-        if script in ("Han", "Kana"):
-            word = word[:1]
-        full = width <= SOFT_WIDTH and len(lines) > 1 and b - a + len(word) + (script not in ("Han", "Kana")) > width
-        if NUMBER_BULLET.match(nxt) and not full:
+        if c >= d or a >= b or len(LINE.findall(m.group())) > 1 or BULLET.match(text, c, d):
             out.append((*m.span(), True))
             continue
-        ended = ENDED.search(text, max(a, b - 8), b) is not None
-        bullet = BULLET.match(text[a:b]) is not None
-        goes_on = regex.match(r"[\"'“„«(]*\p{Ll}|[!?;:»]", nxt) is not None and not ended
-        long = not ended and width <= SOFT_WIDTH and b - a >= 0.6 * width and len(text[a:b].split()) >= 5
-        out.append((*m.span(), not (full or long or (goes_on and not bullet))))
+        word = 1 if dense[n] else 1 + FIRST_WORD(text, c, d).end() - c
+        ended = ENDED.search(text, max(a, b - 8), b) is not None and text[a:b].split()[-1].rstrip(".").lower() not in ABBREVIATIONS
+        single.append((n, b - a, ended, b - a + word > width, GOES_ON(text, c, d) is not None and not ended))
+        out.append(None)
+    near = [ended for _, size, ended, full, _ in single if full or size >= 0.6 * width]
+    wrapped = any(not ended and (goes_on or (full and size < width)) for _, size, ended, full, goes_on in single) or 2 * near.count(False) >= len(near) > 0
+    for n, size, ended, full, goes_on in single:
+        (a, b), (c, d) = lines[n], lines[n + 1]
+        full = full and wrapped
+        if NUMBER_BULLET.match(text, c, d) and not full:
+            hard = True
+        else:
+            long = wrapped and not ended and size >= 0.6 * width and len(text[a:b].split()) >= 5
+            hard = not (full or long or (goes_on and BULLET.match(text, a, b) is None))
+        out[n] = (*runs[n].span(), hard)
     return out
 
 
 def boundaries(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """The (start, end) of each sentence of a text."""
-    if not text or not text.strip():
+    if not text or text.isspace():
         return []
     lang = (lang or "").lower() or None
     spans, closing = _spans(text)
     inside = bytearray(len(text) + 1)
     for a, b in spans:
         inside[a + 1 : b + 1] = b"\x01" * (b - a)
-    small = text == text.lower() and text != text.upper()
-    cuts = set()
-    for a, b, hard in _newlines(text):
-        if hard:
-            cuts.add(a)
+    low = text.lower()
+    small = text == low and text.upper() != low
     n = len(text)
-    for m in TERMINATOR.finditer(text):
+    cuts = {a for a, _, hard in _newlines(text) if hard}
+    places: list[tuple[int, int]] = []  # end of the marks with what closes behind them, and of the first mark
+    for m in (TERMINATOR if text.isascii() or ";" not in text else WITH_GREEK).finditer(text):
         e = m.end()
-        mark = m.group()
         while e < n and text[e] in CLOSE and (e in closing or text[e] in ")]）”’»」』"):
             e += 1
-        if e + 1 < n and text[e + 1] == "»" and text[e] in "    " and e + 1 in closing:
+        if e + 1 < n and text[e + 1] == "»" and text[e] in "\u00a0\u202f\u2009 " and e + 1 in closing:
             e += 2
-        if inside[e]:
-            continue
-        script = _script(text, m.start() + 1)
-        if mark == ";" and script != "Greek":
-            continue
-        if e >= n:
-            continue
-        if _decide(text, e, script, lang, small):
-            cuts.add(e)
-    if THAI.search(text):
+        if e < n and not inside[e]:
+            places.append((e, m.start()))
+    if places:
+        for (e, i), script in zip(places, _scripts(text, [i + 1 for _, i in places])):
+            if (text[i] != ";" or script == "Greek") and _decide(text, e, script, lang, small):
+                cuts.add(e)
+    if not text.isascii() and THAI.search(text):
         for m in THAI_SPACE.finditer(text):
             a, b = m.span()
             if inside[a] or text[a - 1] == "ๆ" and not regex.match(r"\p{Thai}", text[b]):
@@ -289,7 +323,7 @@ def boundaries(text: str | None, lang: str | None = None) -> list[tuple[int, int
         piece = text[at:c]
         s = piece.strip()
         if s:
-            start = at + piece.index(s[0]) if not piece[0].isspace() else at + len(piece) - len(piece.lstrip())
+            start = at + len(piece) - len(piece.lstrip())
             out.append((start, start + len(s)))
         at = c
     return out

@@ -397,6 +397,47 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.boundaries(text)] == want
 
 
+@pytest.mark.parametrize("open_close", ["“”", "«»", '""', "()", "「」"])
+@pytest.mark.parametrize("n", [3, 40, 400])
+def test_spans_of_any_length_stay_whole(open_close, n):
+    inner = " ".join(["The film grew in the dark."] * n)
+    text = f"He wrote {open_close[0]}{inner}{open_close[1]} and left. It was cold."
+    assert [text[a:b] for a, b in sentences.boundaries(text, "en")] == [text[:-13], "It was cold."]
+
+
+def test_stray_marks():
+    whole = lambda t: [t[a:b] for a, b in sentences.boundaries(t, "en")]
+    assert whole('A 5" tube broke. It was cold. We left.') == ['A 5" tube broke.', "It was cold.", "We left."]
+    assert whole('He said "Stop. It was cold. Then he said "Go on. Now." and left.') == ['He said "Stop.', "It was cold.", 'Then he said "Go on. Now." and left.']
+    assert whole("( " * 500 + "One ended here. " + "Two (in. here) ended.") == ["( " * 500 + "One ended here.", "Two (in. here) ended."]
+    assert whole("“Open. One.\n\nTwo ended” here. Three.") == ["“Open.", "One.", "Two ended” here.", "Three."]
+
+
+@pytest.mark.parametrize("width", [40, 100, 140, 200, 500])
+def test_wrapped_at_any_width(width):
+    import textwrap
+
+    rnd = random.Random(width)
+    words = "film grows on Glass under Dry air while every Layer keeps its shape".split()
+    want = [" ".join(["The", *(rnd.choice(words) for _ in range(rnd.randint(8, 60))), "ends."]) for _ in range(30)]
+    text = textwrap.fill(" ".join(want), width)
+    assert [" ".join(text[a:b].split()) for a, b in sentences.boundaries(text, "en")] == want
+    two = " ".join(["The", *["Film"] * (width // 5), "Glass"])
+    assert len(sentences.boundaries(f"{two}\nGrows on {two[:20]}.", "en")) == 1
+
+
+def test_long_paragraphs_on_lines_are_not_wrapped():
+    p = ["Growth", " ".join(["The film grows on cold glass under dry air."] * 9), " ".join(["Layers keep the shape."] * 12), "1. Glass of any kind that is cold", "2. Tin"]
+    got = sentences.boundaries("\n".join(p), "en")
+    assert len(got) == 1 + 9 + 12 + 1 + 1
+
+
+def test_script_and_rules_have_no_window():
+    text = "a" + "1" * 300 + "．第一句。」" + "と" + "8" * 200 + "した。二。"
+    assert [text[a:b] for a, b in sentences.boundaries(text)][-1] == "二。"
+    assert sentences._scripts("это " + "1" * 500 + ". ", [505]) == ["Cyrillic"] and sentences._scripts("12. это", [2]) == ["Cyrillic"]
+
+
 def test_sentences_cover_everything(spark):
     rnd = random.Random(9)
     chars = list(" .!?。\n\t\"“”«»()A b3ä日ก ๆ؟।;…-") + ["Dr. ", "e.g. ", "\n\n"]
