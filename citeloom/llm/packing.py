@@ -37,7 +37,7 @@ Filling = tuple[tuple[int, int], ...]
 class Effort:
     """How far a block is searched; None is without bound."""
 
-    search: int | None = 40_000  # containers filled in the branch and bound of one block
+    search: int | None = 4_000  # containers filled in the branch and bound of one block
     nodes: int | None = 400  # steps taken to find the fillings around one item
     branches: int | None = 4  # fillings tried around one item
     exact: int | None = 6  # fillings without waste after which no others are looked for
