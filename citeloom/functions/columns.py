@@ -15,14 +15,6 @@ STOP_TOKENS = ("and", "the", "a", "to", "with", "for", "then", "there", "what",
 SYMBOLS = r"[%${}^/\\#*'_()+\-\[\]]"
 SCRAPED = dt.date(2021, 3, 20)
 
-#: Words that only serve the grammar; enough to tell these languages apart in a title.
-FUNCTION_WORDS = {
-    "en": "the of and to in for with by from on at or is its a an what not via without under beyond into one based",
-    "de": "der die das und für mit von aus im den auf zu über bei ein eine unter zur zum feuchte",
-    "fr": "le la les des de du et dans pour avec sur sous une un à base aux en par rôle",
-    "es": "el los las de del y en para con sobre por una un al papel celdas",
-}
-
 
 def strip(c: Column) -> Column:
     """Without white space at either end, of any kind."""
@@ -62,17 +54,6 @@ def abstract_between(page: Column, start: str = "Description\n", end: str = "\nT
     return F.nullif(F.regexp_extract(page, rf"(?s){start}(.*){end}", 1), F.lit(""))
 
 
-def language(title: Column) -> Column:
-    """Language with most function words in a title; English if none has more."""
-    words = F.split(F.lower(title), " ")
-    n = {k: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in v.split()]))) for k, v in FUNCTION_WORDS.items()}
-    best = F.greatest(*n.values())
-    out = F.when(n["en"] == best, "en")
-    for k in ("de", "fr", "es"):
-        out = out.when(n[k] == best, k)
-    return F.when(title.isNotNull(), out)
-
-
 def contains_any(c: Column, keywords: list[str]) -> Column:
     """Any keyword as a part of the text, without regard to case; NULL text contains none."""
     low = F.lower(c)
@@ -84,10 +65,12 @@ def contains_any(c: Column, keywords: list[str]) -> Column:
 
 def matches_any(columns: list[Column], patterns: list[str]) -> Column:
     """Any pattern in any of the columns; NULL never matches."""
-    hit = F.lit(False)
-    for c in columns:
-        hit = hit | F.coalesce(c.rlike("(?i)" + "|".join(patterns)), F.lit(False))
-    return hit
+    return matches(columns, ["|".join(patterns)]) > 0
+
+
+def matches(columns: list[Column], patterns: list[str]) -> Column:
+    """Number of (column, pattern) pairs that match, without regard to case; NULL never matches."""
+    return sum((F.coalesce(c.rlike(f"(?i){p}"), F.lit(False)).cast("int") for c in columns for p in patterns), F.lit(0))
 
 
 def split_keep(c: Column, sep: str) -> Column:

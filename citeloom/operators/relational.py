@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import columns as C
+from citeloom.functions.language import language
 
 
 def dedup_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -21,7 +22,7 @@ def clean_papers(raw: DataFrame) -> DataFrame:
     The language test depends only on the key, so it runs before the shuffle.
     """
     keep = ["titleid", "title_main", "authors", "journal", "conference", "source", "book", "publisher", "vol", "issue", "pages", "pubdate", "cited", "scrap_auth_id", "urlid", "row_id", "_file", "_pos"]
-    df = raw.select(*keep).where(F.col("titleid").isNotNull() & (C.language(F.col("titleid")) == "en"))
+    df = raw.select(*keep).where(F.col("titleid").isNotNull() & (language(F.col("titleid")) == "en"))
     df = dedup_first(df, ["titleid"], ["_file", "_pos"])
     text = [c for c in keep if c not in ("titleid", "cited", "row_id", "_file", "_pos")]
     df = df.withColumns({"cited_num": C.cited_number(F.col("cited")), **{c: C.unmarked(F.col(c)) for c in text}})

@@ -1,7 +1,7 @@
-"""Ordered state: streaks with resets, stop rules, latest state of a log.
+"""Ordered state: counters with resets, streaks, stop rules, latest state of a log.
 
-A key may hold a large share of all rows, so counters are computed within chunks of a key (its files) and then carried over
-the chunks by a window over one summary row per chunk.
+A key may hold a large share of all rows, so counters are computed within chunks of a key (its files, and parts of long ones) and
+then carried over the chunks by a window over one summary row per chunk.
 """
 
 from __future__ import annotations
@@ -9,37 +9,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.session import checkpointed
 
-def streaks(df: DataFrame, key: str, chunk: str, order: str, flags: dict[str, Column]) -> DataFrame:
-    """For each flag the length of the run of true rows that ends at each row, in the order (chunk, order) within a key."""
-    names = list(flags)
-    df = df.withColumns({f"_f{i}": F.coalesce(c, F.lit(False)).cast("int") for i, c in enumerate(flags.values())})
-    w = Window.partitionBy(key, chunk).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    place = F.row_number().over(w)
-    df = df.withColumn("_at", place)
-    df = df.withColumns({f"_r{i}": F.col("_at") - F.coalesce(F.max(F.when(F.col(f"_f{i}") == 0, F.col("_at"))).over(upto), F.lit(0)) for i in range(len(names))})
-    per = df.groupBy(key, chunk).agg(F.max("_at").alias("_n"), *[F.max_by(f"_r{i}", "_at").alias(f"_t{i}") for i in range(len(names))])
-    chunks = Window.partitionBy(key).orderBy(chunk)
-    for i in range(len(names)):
-        per = per.withColumn(f"_g{i}", F.sum(F.when(F.col(f"_t{i}") < F.col("_n"), 1).otherwise(0)).over(chunks.rowsBetween(Window.unboundedPreceding, 0)))
-        run = F.sum(f"_t{i}").over(Window.partitionBy(key, f"_g{i}").orderBy(chunk).rowsBetween(Window.unboundedPreceding, 0))
-        per = per.withColumn(f"_s{i}", run)
-        per = per.withColumn(f"_c{i}", F.coalesce(F.lag(f"_s{i}").over(chunks), F.lit(0)))
-    carry = per.select(key, chunk, *[f"_c{i}" for i in range(len(names))])
-    out = df.join(carry, [key, chunk])
-    for i, n in enumerate(names):
-        out = out.withColumn(n, F.when(F.col(f"_r{i}") == F.col("_at"), F.col(f"_r{i}") + F.col(f"_c{i}")).otherwise(F.col(f"_r{i}")))
-    return out.drop("_at", *[f"_{x}{i}" for x in "frc" for i in range(len(names))])
-
-
-def running_total(df: DataFrame, key: str, chunk: str, order: str, value: Column, name: str) -> DataFrame:
-    """Sum of a value up to each row of a key, in the order (chunk, order)."""
-    df = df.withColumn("_v", F.coalesce(value, F.lit(0)))
-    inside = F.sum("_v").over(Window.partitionBy(key, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    per = df.groupBy(key, chunk).agg(F.sum("_v").alias("_s"))
-    ahead = F.coalesce(F.sum("_s").over(Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_in", inside).join(per.withColumn("_b", ahead).drop("_s"), [key, chunk]).withColumn(name, F.col("_in") + F.col("_b")).drop("_v", "_in", "_b")
+#: Most positions of one chunk of a key.
+CHUNK = 50_000
+
+
+def counters(df: DataFrame, key: str, chunk: str, order: str, rules: dict[str, tuple[Column, Column | None]]) -> DataFrame:
+    """The value of each counter after each row, in the order (chunk, order) within a key; every key starts at zero.
+
+    rules: for each counter what a row adds, and what it sets the counter to (NULL or None: nothing). Rows are read once; the place
+    of the last reset needs no island, as the value is the sum of all additions and of what the last reset took away or gave.
+    NULL additions are 0; rows of a NULL key are counted together; ``order`` is numeric.
+    """
+    zero = F.lit(0).cast("long")
+    work = df.withColumn("_p", F.floor(F.col(order) / CHUNK))
+    for i, (add, reset) in enumerate(rules.values()):
+        to = (F.lit(None) if reset is None else reset).cast("long")
+        work = work.withColumns({f"_r{i}": to, f"_a{i}": F.when(to.isNull(), F.coalesce(add.cast("long"), zero)).otherwise(zero)})
+    n = range(len(rules))
+    w = Window.partitionBy(key, chunk, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    work = work.withColumns({f"_c{i}": F.sum(f"_a{i}").over(w) for i in n})
+    work = work.withColumns({f"_b{i}": F.last(F.col(f"_r{i}") - F.col(f"_c{i}"), ignorenulls=True).over(w) for i in n}).drop(*[f"_{x}{i}" for x in "ra" for i in n])
+    work = checkpointed(work)  # read for the summaries and for the rows
+
+    per = work.groupBy(key, chunk, "_p").agg(F.max_by(F.struct(*[f"_{x}{i}" for x in "cb" for i in n]), order).alias("_l")).select(key, chunk, "_p", "_l.*")
+    by = Window.partitionBy(key).orderBy(chunk, "_p")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    # a chunk with a reset sets the counter to its own last value, one without adds to it
+    per = per.withColumns({f"_s{i}": F.sum(F.when(F.col(f"_b{i}").isNull(), F.col(f"_c{i}")).otherwise(0)).over(upto) for i in n})
+    per = per.withColumns({f"_t{i}": F.last(F.col(f"_c{i}") + F.col(f"_b{i}") - F.col(f"_s{i}"), ignorenulls=True).over(upto) for i in n})
+    carry = per.select(key, chunk, "_p", *[F.coalesce(F.lag(F.col(f"_s{i}") + F.coalesce(f"_t{i}", zero)).over(by), zero).alias(f"_k{i}") for i in n])
+    pair = (work[key].eqNullSafe(carry[key])) & (work[chunk].eqNullSafe(carry[chunk])) & (work["_p"].eqNullSafe(carry["_p"]))
+    out = work.join(carry, pair).drop(carry[key], carry[chunk], carry["_p"])
+    values = {name: F.col(f"_c{i}") + F.coalesce(f"_b{i}", f"_k{i}") for i, name in enumerate(rules)}
+    return out.withColumns(values).drop("_p", *[f"_{x}{i}" for x in "cbk" for i in n])
+
+
+def streak(flag: Column) -> tuple[Column, Column]:
+    """Rule of a run of true rows."""
+    return F.lit(1), F.when(F.coalesce(flag, F.lit(False)), F.lit(None)).otherwise(0)
 
 
 def stop_rows(df: DataFrame, key: str, order: list[str], counters: list[str], any_above: int, sum_above: int) -> DataFrame:

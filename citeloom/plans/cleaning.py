@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import columns as C
+from citeloom.functions.language import language
 from citeloom.operators import relational as R
 from citeloom.plans import sqlparts as S
 from citeloom.plans.registry import Registry
@@ -100,22 +101,21 @@ def der_abstract(spark, d):
     return t(spark, d, "papers_raw").select("row_id", C.abstract_between(F.col("all_text")).alias("abstract"))
 
 
-@query(f"select row_id, {S.language('titleid')} as lang from papers_raw")
+@query(f"with {S.LANGUAGES} select row_id, lang from papers_raw left join languages on text = titleid")
 def der_titles_lang(spark, d):
-    return t(spark, d, "papers_raw").select("row_id", C.language(F.col("titleid")).alias("lang"))
+    return t(spark, d, "papers_raw").select("row_id", language(F.col("titleid")).alias("lang"))
 
 
-@query(f"select row_id from papers_raw where {S.language('titleid')} = 'en'")
+@query(f"with {S.LANGUAGES} select row_id from papers_raw join languages on text = titleid where lang = 'en'")
 def lang_filter(spark, d):
-    return t(spark, d, "papers_raw").where(C.language(F.col("titleid")) == "en").select("row_id")
+    return t(spark, d, "papers_raw").where(language(F.col("titleid")) == "en").select("row_id")
 
 
-@query("select lower(lang) as lang, case when n_en > n_other then 'en' else 'other' end as guess, count(*) as n from (select lang, len(list_intersect(string_split(lower(text), ' '), ['the', 'of', 'and', 'is'])) as n_en, len(list_intersect(string_split(lower(text), ' '), ['der', 'die', 'das', 'le', 'la', 'el', 'les', 'los'])) as n_other from documents where text is not null) group by 1, 2")
+@query(f"with {S.languages('documents', 'text')} select lower(d.lang) as lang, l.lang as guess, count(*) as n from documents d join languages l using (text) group by 1, 2")
 def lang_detect_agreement(spark, d):
-    w = F.split(F.lower("text"), " ")
-    n = lambda *x: F.size(F.array_intersect(w, F.array(*[F.lit(y) for y in x])))
-    en, other = n("the", "of", "and", "is"), n("der", "die", "das", "le", "la", "el", "les", "los")
-    return t(spark, d, "documents").where("text is not null").groupBy(F.lower("lang").alias("lang"), F.when(en > other, "en").otherwise("other").alias("guess")).agg(F.count("*").alias("n"))
+    """Declared languages of the documents against those that the scorer finds."""
+    docs = t(spark, d, "documents").where("text is not null")
+    return docs.groupBy(F.lower("lang").alias("lang"), language(F.col("text")).alias("guess")).agg(F.count("*").alias("n"))
 
 
 @query(f"select row_id, r as cites_per_year from (select row_id, {_RATE} as r from papers_raw) where r >= 0")

@@ -1,6 +1,7 @@
 """Pieces of SQL that several oracles share."""
 
-from citeloom.functions.columns import FUNCTION_WORDS, KEEP_TOKENS, STOP_TOKENS
+from citeloom.functions.columns import KEEP_TOKENS, STOP_TOKENS
+from citeloom.functions.language import FUNCTION_WORDS, PROFILE
 
 MARKERS = "('NA', 'couldnt find', 'cant read from scrapper out')"
 
@@ -25,20 +26,35 @@ def cited_number(c: str) -> str:
     return f"case when {c} = 'NA' then 0 else try_cast(nullif(split_part({c}, ' ', 3), '') as int) end"
 
 
-def _words(k: str) -> str:
-    return "[" + ", ".join("'" + w + "'" for w in FUNCTION_WORDS[k].split()) + "]"
+def _values(rows: dict[str, str]) -> str:
+    return ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(rows.items()))
 
 
-def language(c: str) -> str:
-    n = {k: f"len(list_distinct(list_intersect(string_split(lower({c}), ' '), {_words(k)})))" for k in FUNCTION_WORDS}
-    best = f"greatest({', '.join(n.values())})"
-    return f"case when {c} is null then null when {n['en']} = {best} then 'en' when {n['de']} = {best} then 'de' when {n['fr']} = {best} then 'fr' else 'es' end"
+def languages(table: str, column: str) -> str:
+    """Tables that end in ``languages`` (text, lang): every different text of a column with its language, found by joins and votes."""
+    other = {"el": "Greek", "ru": "Cyrillic", "ar": "Arabic", "hi": "Devanagari", "th": "Thai", "ko": "Hangul"}
+    n = lambda *p: "len(regexp_extract_all(text, '[" + "".join(rf"\p{{{x}}}" for x in p) + "]'))"
+    kana = ("Hiragana", "Katakana")
+    each = " ".join(f"union all select text, {n(v)}, {i}, '{k}' from texts" for i, (k, v) in enumerate(other.items()))
+    return rf"""texts as (select distinct {column} as text from {table} where {column} is not null),
+lang_words as (select distinct nr, lang, unnest(string_split(ws, ' ')) as word from (values {_values(FUNCTION_WORDS)}) w(nr, lang, ws)),
+spaced as (select text, trim(regexp_replace(replace(lower(text), chr(173), ''), '[^\p{{L}}\p{{M}}\p{{N}}¿¡]+', ' ', 'g')) as s from texts),
+votes as (select text, nr, 2 * count(distinct word) as n from (select text, unnest(string_split(s, ' ')) as word from spaced) join lang_words using (word) group by text, nr
+ union all select text, nr, len(regexp_extract_all(' ' || s || ' ', p)) from spaced, (values {_values(PROFILE)}) k(nr, lang, p)),
+latin as (select text, nr, row_number() over (partition by text order by sum(n) desc, nr) as place from votes group by text, nr),
+letters as (select text, {n('Latin')} as n, -1 as o, 'latin' as script from texts
+ {each}
+ union all select text, {n(*kana, 'Han')}, 9, case when {n(*kana)} > 0 then 'ja' else 'zh' end from texts),
+script as (select text, script from (select *, row_number() over (partition by text order by n desc, o) as place from letters) where place = 1),
+languages as (select text, case when script = 'latin' then (['{"', '".join(FUNCTION_WORDS)}'])[nr + 1] else script end as lang from script join latin using (text) where place = 1)"""
 
 
+LANGUAGES = languages("papers_raw", "titleid")
 _TEXT = ("title_main", "authors", "journal", "conference", "source", "book", "publisher", "vol", "issue", "pages", "scrap_auth_id", "urlid")
-CLEAN = f"""first as (select *, row_number() over (partition by titleid order by _file, _pos) as rn from papers_raw where titleid is not null),
+CLEAN = f"""{LANGUAGES},
+first as (select *, row_number() over (partition by titleid order by _file, _pos) as rn from papers_raw where titleid is not null),
 dated as (select row_id, titleid, {', '.join(f'{unmarked(c)} as {c}' for c in _TEXT)}, {cited_number('cited')} as cited_num,
- {unmarked('pubdate')} as pd from first where rn = 1 and {language('titleid')} = 'en'),
+ {unmarked('pubdate')} as pd from first where rn = 1 and titleid in (select text from languages where lang = 'en')),
 rated as (select * exclude (pd), split_part(pd, '/', 1) as year, {parse_date('pd')} as date from dated),
 clean as (select * from (select *, cited_num::double / nullif(date_diff('day', date, date '2021-03-20') / 365e0, 0) as cites_per_year from rated) where cites_per_year >= 0)"""
 CLEAN_COLUMNS = "titleid, title_main, authors, journal, conference, source, book, publisher, vol, issue, pages, scrap_auth_id, urlid, row_id, cited_num, year, date, cites_per_year"

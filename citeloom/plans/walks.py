@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import columns as C
+from citeloom.functions.language import language
 from citeloom.operators import graph as G
 from citeloom.operators import state as Z
 from citeloom.plans import sqlparts as S
@@ -62,55 +63,91 @@ def gr_adjacency(spark, d):
     return G.adjacency(t(spark, d, "edges"))
 
 
-FLAGS = ("book", "old_no_cites", "non_en", "no_pubdate", "missing_fields")
+COUNTERS = ("book", "old_no_cites", "non_en", "no_title", "no_pubdate", "missing_fields", "not_real_paper")
+#: An author is left when one counter, or the sum of all, is above these.
+ANY_ABOVE, SUM_ABOVE = 9, 21
+# What marks a paper that was not really published.
+UNREAL = ("tbd", "under review", "in review", "not published", "poster", "bulletin", "workshop")
+_PLACES = ("journal", "source", "conference", "book")
 _FIELDS = ("title_main", "cited", "authors", "pubdate", "publisher", "vol", "issue", "pages", "description")
-_SQL_FLAGS = f"""flags as (select row_id, scrap_auth_id as a, _file as f, _pos as o,
- coalesce(regexp_matches(journal, '(?i)book') or regexp_matches(source, '(?i)book') or regexp_matches(conference, '(?i)book') or regexp_matches(book, '(?i)book'), false)::int as book,
- coalesce(try_cast(split_part(pubdate, '/', 1) as int) < 1990 and cited in ('NA', 'couldnt find'), false)::int as old_no_cites,
- coalesce({S.language('titleid')} <> 'en', false)::int as non_en,
- (pubdate is null or pubdate in {S.MARKERS})::int as no_pubdate,
- (({' + '.join(f'({c} is null or {c} in {S.MARKERS})::int' for c in _FIELDS)}) / {len(_FIELDS)}e0 > 0.4)::int as missing_fields,
- coalesce(regexp_matches(titleid, '(?i)tbd|under review|in review|not published|poster|bulletin|workshop'), false)::int as junk
- from papers_raw where scrap_auth_id is not null),
-isl as (select *, {', '.join(f'sum(1 - {x}) over w as g_{x}' for x in FLAGS)} from flags window w as (partition by a order by f, o rows unbounded preceding)),
-runs as (select row_id, a, f, o, {', '.join(f'(sum({x}) over (partition by a, g_{x} order by f, o rows unbounded preceding))::bigint as {x}' for x in FLAGS)},
- (sum(junk) over (partition by a order by f, o rows unbounded preceding))::bigint as not_real_paper from isl)"""
-
-
-def _flags():
-    text = [F.col(c) for c in ("journal", "source", "conference", "book")]
+
+
+def junk_rules() -> dict:
+    """What one paper does to each counter of its author: an addition, or a value to which the counter is set.
+
+    A book in any of the four places counts 1, and 1 more if it is named as the book of an uncited paper; no book sets back to 0.
+    An old paper without citations counts 1, another sets back to 0, a year that can't be read sets to 1. A missing title counts 1
+    and says nothing of the language; missing dates and many missing fields count 1 or set back to 0. Each pattern found in each
+    place counts 1 for papers that were not really published, and nothing sets that back.
+    """
+    places = [C.unmarked(F.col(c)) for c in _PLACES]
+    uncited = F.coalesce(F.col("cited").isin("NA", "couldnt find"), F.lit(False))
+    book = C.matches(places, ["book"]) > 0
+    year = F.when(C.year_text(F.col("pubdate")).rlike(r"^\s*[+-]?[0-9]{1,9}\s*$"), F.trim(C.year_text(F.col("pubdate"))).cast("int"))
+    untitled = C.missing_flag(F.col("titleid")) == 1
     missing = sum((C.missing_flag(F.col(c)) for c in _FIELDS), F.lit(0)) / F.lit(float(len(_FIELDS))) > 0.4
+    back = lambda goes_on, to=0: F.when(~goes_on, to)
     return {
-        "book_run": C.matches_any(text, ["book"]),
-        "old_no_cites": (C.year_text(F.col("pubdate")).try_cast("int") < 1990) & F.col("cited").isin("NA", "couldnt find"),
-        "non_en": C.language(F.col("titleid")) != "en",
-        "no_pubdate": C.missing_flag(F.col("pubdate")) == 1,
-        "missing_fields": missing,
+        "book": (F.lit(1) + (places[3].isNotNull() & uncited).cast("int"), back(book)),
+        "old_no_cites": (F.lit(1), F.when(year.isNull(), 1).when((year >= 1990) | ~uncited, 0)),
+        "non_en": ((~untitled).cast("int"), F.when(~untitled & (language(F.col("titleid")) == "en"), 0)),
+        "no_title": (F.lit(1), back(untitled)),
+        "no_pubdate": (F.lit(1), back(C.missing_flag(F.col("pubdate")) == 1)),
+        "missing_fields": (F.lit(1), back(missing)),
+        "not_real_paper": (C.matches(places, list(UNREAL)), None),
     }
 
 
+def _steps() -> str:
+    """For each paper of an author what it adds to each counter and, if not NULL, what it sets it to."""
+    place = [f"coalesce({S.unmarked(c)}, '')" for c in _PLACES]
+    book = "(" + " or ".join(f"contains(lower({p}), 'book')" for p in place) + ")"
+    unreal = " + ".join(f"contains(lower({p}), '{w}')::int" for p in place for w in UNREAL)
+    gone = lambda c: f"({c} is null or {c} in {S.MARKERS})"
+    year = r"case when regexp_full_match(split_part(pubdate, '/', 1), '\s*[+-]?[0-9]{1,9}\s*') then trim(split_part(pubdate, '/', 1))::int end"
+    few = f"({' + '.join(f'{gone(c)}::int' for c in _FIELDS)}) / {len(_FIELDS)}e0 > 0.4"
+    return rf"""{S.LANGUAGES},
+p as (select row_id, scrap_auth_id as a, _file as f, _pos as o, cited in ('NA', 'couldnt find') as uncited, {year} as y, {book} as is_book, {gone('book')} as no_book, {gone('titleid')} as untitled,
+ lang, {gone('pubdate')} as undated, {few} as few, {unreal} as unreal from papers_raw left join languages on text = titleid where scrap_auth_id is not null),
+steps as (select row_id, a, f, o, 1 + (uncited and not no_book)::int as a_book, case when not is_book then 0 end as r_book,
+ 1 as a_old_no_cites, case when y is null then 1 when y >= 1990 or not coalesce(uncited, false) then 0 end as r_old_no_cites,
+ (not untitled)::int as a_non_en, case when not untitled and lang = 'en' then 0 end as r_non_en, 1 as a_no_title, case when not untitled then 0 end as r_no_title,
+ 1 as a_no_pubdate, case when not undated then 0 end as r_no_pubdate, 1 as a_missing_fields, case when not few then 0 end as r_missing_fields,
+ unreal as a_not_real_paper, null::int as r_not_real_paper from p)"""
+
+
+_RUNS = f"""{_steps()},
+isl as (select *, {', '.join(f'count(r_{x}) over w as g_{x}' for x in COUNTERS)} from steps window w as (partition by a order by f, o rows unbounded preceding)),
+runs as (select row_id, a, f, o, {', '.join(f'(sum(coalesce(r_{x}, a_{x}, 0)) over (partition by a, g_{x} order by f, o rows unbounded preceding))::bigint as {x}' for x in COUNTERS)} from isl)"""
+
+
 def counters(spark, d):
-    """Junk counters of every paper of every author: five streaks that reset and one that never does."""
-    p = t(spark, d, "papers_raw").where("scrap_auth_id is not null").select("row_id", "scrap_auth_id", "_file", "_pos", "titleid", "journal", "source", "conference", "book", *[c for c in _FIELDS if c != "title_main"], "title_main")
-    s = Z.streaks(p, "scrap_auth_id", "_file", "_pos", _flags()).drop("book").withColumnRenamed("book_run", "book")
-    junk = C.matches_any([F.col("titleid")], ["tbd", "under review", "in review", "not published", "poster", "bulletin", "workshop"]).cast("int")
-    return Z.running_total(s, "scrap_auth_id", "_file", "_pos", junk, "not_real_paper")
+    """Junk counters of every paper of every author."""
+    p = t(spark, d, "papers_raw").where("scrap_auth_id is not null").select("row_id", "scrap_auth_id", "_file", "_pos", "titleid", *_PLACES, *_FIELDS)
+    rules = junk_rules()
+    # a counter may have the name of a column, so both steps of each are taken before
+    steps = p.select("row_id", "scrap_auth_id", "_file", "_pos", *[a.alias(f"a_{x}") for x, (a, _) in rules.items()], *[(F.lit(None).cast("int") if r is None else r).alias(f"r_{x}") for x, (_, r) in rules.items()])
+    return Z.counters(steps, "scrap_auth_id", "_file", "_pos", {x: (F.col(f"a_{x}"), F.col(f"r_{x}")) for x in rules})
 
 
-@query(f"with {_SQL_FLAGS} select row_id, {', '.join(FLAGS)}, not_real_paper from runs")
+@query(f"with {_RUNS} select row_id, {', '.join(COUNTERS)} from runs")
 def win_streaks(spark, d):
-    return counters(spark, d).select("row_id", *[F.col(x).cast("long").alias(x) for x in FLAGS], F.col("not_real_paper").cast("long").alias("not_real_paper"))
+    return counters(spark, d).select("row_id", *COUNTERS)
 
 
-@query(f"with {_SQL_FLAGS}, hit as (select *, row_number() over (partition by a order by f, o) as rn from runs where greatest({', '.join(FLAGS)}, not_real_paper) > 3 or {' + '.join(FLAGS)} + not_real_paper > 8) select a as scrap_auth_id, f as _file, o as _pos from hit where rn = 1")
+@query(
+    f"""with {_RUNS}, hit as (select *, row_number() over (partition by a order by f, o) as rn from runs
+ where greatest({', '.join(COUNTERS)}) > {ANY_ABOVE} or {' + '.join(COUNTERS)} > {SUM_ABOVE}) select a as scrap_auth_id, f as _file, o as _pos from hit where rn = 1"""
+)
 def st_junk_stop(spark, d):
-    return Z.stop_rows(counters(spark, d), "scrap_auth_id", ["_file", "_pos"], [*FLAGS, "not_real_paper"], 3, 8)
+    return Z.stop_rows(counters(spark, d), "scrap_auth_id", ["_file", "_pos"], list(COUNTERS), ANY_ABOVE, SUM_ABOVE)
 
 
-@query("select scrap_auth_id, count(distinct _file) as n_chunks, count(*) as n from papers_raw where scrap_auth_id is not null group by 1")
+@query(f"with {_steps()}, first as (select *, row_number() over (partition by a order by f, o) as rn from steps) select a as scrap_auth_id, {', '.join(f'coalesce(r_{x}, a_{x}, 0)::bigint as {x}' for x in COUNTERS)} from first where rn = 1")
 def st_reset(spark, d):
-    p = t(spark, d, "papers_raw").where("scrap_auth_id is not null")
-    return p.groupBy("scrap_auth_id").agg(F.countDistinct("_file").alias("n_chunks"), F.count("*").alias("n"))
+    """The counters of each author after the first paper: nothing of the author before is left in them."""
+    first = F.min_by(F.struct(*COUNTERS), F.struct("_file", "_pos"))
+    return counters(spark, d).groupBy("scrap_auth_id").agg(first.alias("s")).select("scrap_auth_id", "s.*")
 
 
 @query(
@@ -121,9 +158,8 @@ select user_id, min(event_id) as event_id from r where run > 3 or (tried > 5 and
 )
 def st_error_budget(spark, d):
     e = t(spark, d, "events").select("user_id", "event_id", F.to_date("ts").alias("day"), (F.col("event_type") == "error").alias("bad"))
-    s = Z.streaks(e, "user_id", "day", "event_id", {"run": F.col("bad")})
-    s = Z.running_total(s, "user_id", "day", "event_id", F.lit(1), "tried")
-    s = Z.running_total(s, "user_id", "day", "event_id", F.when(F.col("bad"), 0).otherwise(1), "got")
+    rules = {"run": Z.streak(F.col("bad")), "tried": (F.lit(1), None), "got": ((~F.col("bad")).cast("int"), None)}
+    s = Z.counters(e, "user_id", "day", "event_id", rules)
     hit = (F.col("run") > 3) | ((F.col("tried") > 5) & (F.col("got") / F.col("tried") < 0.8))
     return s.where(hit).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
 

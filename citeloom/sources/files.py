@@ -41,8 +41,3 @@ def rows_to_frame(spark: SparkSession, rows: list[list], schema: T.StructType) -
     """Rows whose first item is the header."""
     at = [rows[0].index(f.name) for f in schema.fields]
     return spark.createDataFrame([tuple(r[i] for i in at) for r in rows[1:]], schema)
-
-
-def new_files(files: DataFrame, seen: DataFrame, path: str) -> DataFrame:
-    """Files not read before, by their full path."""
-    return files.join(seen.select(path), path, "left_anti")

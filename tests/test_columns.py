@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import columns as C
+from citeloom.functions.language import language
 
 
 def one(spark, value, f, kind="string"):
@@ -51,5 +52,13 @@ def test_small_ones(spark):
     assert r[0][0] == 20 / 21 and r[1][0] is None
 
 
-def test_language(spark):
-    assert [one(spark, t, C.language) for t in ("Growth of films on glass", "Über dünne Schichten aus Glas für feuchte Luft", "Le rôle de X dans les pérovskites", "Celdas solares de X para aire", None, "")] == ["en", "de", "fr", "es", None, "en"]
+TEXTS = [
+    ("Growth of films on glass", "en"), ("Über dünne Schichten aus Glas für feuchte Luft", "de"), ("Le rôle de X dans les pérovskites", "fr"), ("Celdas solares de X para aire", "es"), (None, None), ("", "en"),
+    ("2D contacts: A REVIEW", "en"), ("DIE ROLLE VON X IN ZELLEN", "de"), ("crecimiento y estabilidad", "es"), ("Η τιμή β είναι υψηλή", "el"), ("β-phase foils", "en"), ("Плёнка растёт", "ru"), ("様子を調べた", "ja"),
+    ("效率提高", "zh"), ("박막은 얇다", "ko"), ("هل يبقى ثابتا", "ar"), ("यह पतली है", "hi"), ("ฟิล์มคงรูป", "th"), ("123 +-", "en"), ("the film " * 20_000, "en"),
+]
+
+
+@pytest.mark.parametrize("text,want", TEXTS)
+def test_language(spark, text, want):
+    assert one(spark, text, language) == want

@@ -137,13 +137,77 @@ def test_streaks_over_chunks(spark):
                 data.append((k, c, o, f))
                 want[(k, c, o)] = (run, total)
     df = spark.createDataFrame(data, "k string, c int, o int, f boolean").repartition(5)
-    s = Z.running_total(Z.streaks(df, "k", "c", "o", {"run": F.col("f")}), "k", "c", "o", F.col("f").cast("int"), "total")
+    s = Z.counters(df, "k", "c", "o", {"run": Z.streak(F.col("f")), "total": (F.col("f").cast("int"), None)})
     assert {(r.k, r.c, r.o): (r.run, r.total) for r in s.collect()} == want
     stop = Z.stop_rows(s, "k", ["c", "o"], ["run"], 3, 99)
     for r in stop.collect():
         assert (r.c, r.o) == min((c, o) for (k, c, o), (run, _) in want.items() if k == r.k and run > 3)
 
 
+def junk_loop(papers):
+    """The rules for junk over the papers of one author in order, as plainly as they are stated."""
+    from citeloom.plans.walks import UNREAL
+
+    n = dict.fromkeys(("book", "old_no_cites", "non_en", "no_title", "no_pubdate", "missing_fields", "not_real_paper"), 0)
+    gone = lambda v: v in (None, "NA", "couldnt find", "cant read from scrapper out")
+    out = []
+    for p in papers:
+        uncited = p["cited"] in ("NA", "couldnt find")
+        places = [p[c].lower() for c in ("journal", "source", "conference", "book") if not gone(p[c])]
+        if any("book" in v for v in places):
+            n["book"] += 2 if not gone(p["book"]) and uncited else 1
+        else:
+            n["book"] = 0
+        try:
+            n["old_no_cites"] = n["old_no_cites"] + 1 if int(p["pubdate"].split("/")[0]) < 1990 and uncited else 0
+        except (ValueError, AttributeError):
+            n["old_no_cites"] = 1
+        if gone(p["titleid"]):
+            n["no_title"] += 1
+        else:
+            n["no_title"] = 0
+            n["non_en"] = n["non_en"] + 1 if p["titleid"].startswith("Die ") else 0
+        n["no_pubdate"] = n["no_pubdate"] + 1 if gone(p["pubdate"]) else 0
+        fields = ("title_main", "cited", "authors", "pubdate", "publisher", "vol", "issue", "pages", "description")
+        n["missing_fields"] = n["missing_fields"] + 1 if sum(gone(p[f]) for f in fields) / len(fields) > 0.4 else 0
+        n["not_real_paper"] += sum(w in v for w in UNREAL for v in places)
+        out.append(dict(n))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [3, 50_000])
+def test_junk_rules_against_a_loop(spark, monkeypatch, chunk):
+    """Counters, resets over files and parts of files, and the place where an author is left."""
+    from citeloom.plans import walks
+
+    monkeypatch.setattr(Z, "CHUNK", chunk)
+    rnd = random.Random(12)
+    pick = lambda *v: rnd.choice(v)
+    text = ["titleid", "title_main", "cited", "authors", "pubdate", "journal", "source", "conference", "book", "publisher", "vol", "issue", "pages", "description", "scrap_auth_id", "_file"]
+    data, want, stops, left = [], {}, {}, {}
+    for a in ("a", "b", "c", None):
+        papers = []
+        for i in range(120):
+            p = {c: pick("x", "x", None, "NA", "couldnt find") for c in text} | {"scrap_auth_id": a, "_file": f"f{i // 17:02}", "_pos": i % 17, "row_id": len(data)}
+            p |= {"titleid": pick("The growth of films", "Die Rolle von Glas für Zellen", None, "NA"), "pubdate": pick("1985/2", "2001", "NA", None, "19x/1", "1970", "1980/1/2"), "cited": pick("NA", "Cited by 3", "couldnt find", None)}
+            where = pick("journal", "source", "conference", "book")
+            p |= dict.fromkeys(("journal", "source", "conference", "book")) | {where: pick("A Book of X", "Books", "NA", "Workshop", "poster, in review", "J. Y", "Physics")}
+            papers.append(p)
+            data.append(p)
+        if a:
+            for p, n in zip(papers, junk_loop(papers)):
+                want[p["row_id"]] = n
+                if a not in stops and (max(n.values()) > 9 or sum(n.values()) > 21):
+                    stops[a] = (p["_file"], p["_pos"])
+            left[a] = want[papers[0]["row_id"]]
+    df = spark.createDataFrame(data, ", ".join([*(f"{c} string" for c in text), "_pos long", "row_id long"])).repartition(7)
+    monkeypatch.setattr(walks, "t", lambda spark, d, name: df)
+    assert {r.row_id: {c: r[c] for c in walks.COUNTERS} for r in walks.win_streaks(spark, "").collect()} == want
+    assert {r.scrap_auth_id: (r._file, r._pos) for r in walks.st_junk_stop(spark, "").collect()} == stops and len(stops) == 3
+    assert {r.scrap_auth_id: {c: r[c] for c in walks.COUNTERS} for r in walks.st_reset(spark, "").collect()} == left
+    assert walks.counters(spark, "").where("false").count() == 0
+
+
 def test_latest_state(spark):
     df = spark.createDataFrame([("a", "1", 5, 1), ("a", "False", 3, 9), ("b", None, None, 1), ("b", "404", 1, 0), (None, "1", 1, 1)], "id string, s string, t int, l int")
     assert rows(Z.latest_state(df, "id", "s", "t", "l").select("id", Z.status_code(F.col("s")))) == [("a", "done"), ("b", "gone")]
