@@ -1,4 +1,4 @@
-"""Level-synchronous walks over a citation graph; the frontier and the visited nodes are tables and every level is checkpointed."""
+"""Level-synchronous walks over a citation graph, and connected components; what is reached is a table and every level is checkpointed."""
 
 from __future__ import annotations
 
@@ -50,3 +50,26 @@ def bfs_levels(edges: DataFrame, start: DataFrame, may_expand: DataFrame | None
         visited = checkpointed(visited.unionByName(new.select("id", F.lit(level).alias("level"))))
         frontier = new.where("go").select("id")
     raise RuntimeError("more levels than allowed")
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of every node that has an edge to another: the root is the least node of its component.
+
+    Alternates large and small stars, so the number of rounds grows with the logarithm of the longest chain and no node's
+    neighbours are ever gathered in one row. NULL ends and loops are no edges; an empty table gives an empty result.
+    """
+    both = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))
+    # (larger, smaller) end of each edge
+    tree = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.explode(both).alias("e")).select("e.*").where("a > b").distinct())
+    last = None
+    while True:
+        two = tree.unionByName(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = two.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = two.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        tree = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        now = tree.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == last:
+            return tree.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(tree.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        last = now

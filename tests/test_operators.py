@@ -125,6 +125,27 @@ def test_bfs(spark, limit):
     assert rows(G.bfs_levels(e, spark.createDataFrame([("alone",)], "id string"))) == [("alone", 0)]
 
 
+@pytest.mark.parametrize("shape", ["random", "chain", "star", "none"])
+def test_connected(spark, shape):
+    rnd = random.Random(6)
+    names = [f"n{i:03}" for i in range(120)]
+    rnd.shuffle(names)
+    edges = {"random": [(rnd.choice(names), rnd.choice(names)) for _ in range(70)], "chain": list(zip(names, names[1:])), "star": [(names[0], x) for x in names], "none": []}[shape]
+    parent = {n: n for n in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    want = sorted((n, find(n)) for n in names if any(n in e and e[0] != e[1] for e in edges))
+    df = spark.createDataFrame([*edges, (None, names[0]), (names[1], names[1])], "a string, b string")
+    assert rows(G.connected(df)) == want
+
+
 def test_streaks_over_chunks(spark):
     rnd = random.Random(5)
     data, want = [], {}
