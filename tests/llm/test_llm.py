@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute force, round trips and the cases that their docstrings define."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -136,6 +137,36 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0), "d", "id", "s").count() == 0
 
 
+def test_truncation_does_not_depend_on_the_number_of_records(spark):
+    """A corpus written four times over has the same verdicts but for ties; a notice that many texts share is an end, however often."""
+    rnd = random.Random(16)
+    words = "the film grows on cold glass under dry air while every layer keeps its shape and colour".split()
+    data = []
+    for i in range(600):
+        s = " ".join(" ".join(rnd.choice(words[:-1]) for _ in range(rnd.randint(5, 9))).capitalize() + " " + rnd.choice(["shape", "colour", "glass"]) + "." for _ in range(rnd.randint(3, 9)))
+        s = s[:200] if i % 3 == 0 else s + " © the publisher" if i % 10 == 1 else s[:-4] + "…" if i % 50 == 2 else s
+        data.append((i, s, f"s{i % 3}"))
+    verdicts = []
+    for n in (1, 4):
+        df = spark.createDataFrame([(i + 1000 * k, s, src) for k in range(n) for i, s, src in data], "id long, d string, s string")
+        verdicts.append({r.id for r in truncation.truncated(df, "d", "id", "s").where("score > 0").collect() if r.id < 1000})
+    assert len(verdicts[0] ^ verdicts[1]) <= 3 < 100 < len(verdicts[0])  # the fit is a little sharper, nothing jumps
+    for v in verdicts:
+        assert not any(i % 10 == 1 and i % 3 for i in v) and all(i in v for i in range(600) if i % 50 == 2 and i % 3)
+
+
+def test_evidence_fit():
+    """The weights are a log-likelihood ratio: they find a known one, and stay at the prior without data."""
+    import numpy as np
+
+    x = np.zeros((2, len(truncation.EVIDENCE)))
+    x[:, 2], x[1, 4] = 1, 2.0
+    w = truncation.fit_evidence(x, np.array([1000.0, 3000.0]), np.array([3000.0, 1000.0]))
+    assert abs(w[2] + math.log(3)) < 0.05 and abs(x[1] @ w - math.log(3)) < 0.05
+    assert list(truncation.fit_evidence(x, np.zeros(2), np.ones(2))) == list(truncation.EVIDENCE.values())
+    assert abs(truncation.fit_prior(np.array([30.0, -30.0]), np.array([200.0, 600.0])) - 0.25) < 0.01
+
+
 def test_censored_fit():
     import numpy as np
 
