@@ -1,17 +1,24 @@
 """Variant spellings of names typed by people.
 
-Typing errors: within a profile every surname (or name of a group, or unlisted journal) is cut into k + 1 segments; the
-segments go into an inverted index keyed by profile, length, place and text, and the substrings of every other name that a
-segment may have shifted to are looked up in it. Candidates are verified by edit distance within a band. One error may be a
-transposition, which touches two segments, so k is 2 and three segments are cut.
+Typing errors: surnames, given names, names of groups and unlisted journals are cut into k + 1 segments; the segments go into an
+inverted index keyed by scope, length, place and text, and the substrings of every other name that a segment may have shifted
+to are looked up in it. Candidates are verified by edit distance within a band. One error may be a transposition, which
+touches two segments, so k is 2 and three segments are cut. Exact copies of a word are one entry of the index.
 
-What people do on purpose (initials, order, nicknames, titles, accents, capitals, abbreviated words, acronyms) is read from the
-parsed name: spellings of one surname and first letter are put together where exactly one person fits.
+The scope of surnames is the profile; that of surnames too short to tell an error from another name also has the given names,
+which must be equal then; that of given names is the surname, its first letter and the profile. A surname one error away means
+the same if the given names say so: all people of the rarer spelling must be people of the other. What is linked are the
+connected components, however long the chain.
+
+What people do on purpose (initials, order, titles, accents, capitals, abbreviated words, acronyms) is read from the parsed name:
+spellings of one surname and first letter are put together where exactly one person fits. Nicknames are a table of common short
+forms, and those that a profile itself explains, as in Charles "Chaz" Gray.
 
 Journals are matched word by word with a list of usual spellings through the same segment index; unlisted ones by letters.
 
 Defined results: NULL profiles, names and markers are no cases; repeated names count once; an initial that fits several people
-of a profile is linked with none of them, only with its own other forms; an empty table gives an empty result.
+of a profile is linked with none of them, only with its own other forms; a nickname explained in two ways is explained in none;
+unlisted journals of fewer than five letters, which are acronyms, have no typing errors; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +32,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.operators.graph import connected
 from citeloom.operators.split_values import GROUP, MISSING_MARKERS, split_values
 from citeloom.session import bounded_rows, checkpointed
 
 SEGMENTS = 3
-MIN_TYPO = 5  # shorter names have no typing errors
+MIN_TYPO = 5  # shorter surnames need equal given names
 MAX_LIST = 100_000  # rows of a list of usual spellings that may be sent to every worker
 
 # Common short forms of given names.
@@ -118,11 +126,17 @@ def _forms(given: str) -> list[list[str]]:
     return [[p.lstrip("-") for p in parts], *([[p for p in parts if p[0] != "-"]] if any(p[0] == "-" for p in parts) else [])]
 
 
-def within_word(a: str, b: str) -> bool:
-    return a == b or (min(len(a), len(b)) >= 3 and max(len(a), len(b)) >= 4 and within_one(a, b))
+def nickname_in(name: str) -> str:
+    """The nickname that a name explains itself, as in Charles "Chaz" Gray; empty if none."""
+    m = NICK.search(name) if " " in name.strip() else None
+    words = regex.findall(r"\p{L}+", fold(m.group())) if m else []
+    return words[0] if len(words) == 1 and len(words[0]) > 1 else ""
+
 
+Near = set[tuple[str, str]]
 
-def _fit(a: list[str], b: list[str]) -> bool:
+
+def _fit(a: list[str], b: list[str], near: Near) -> bool:
     for x, y in zip(a, b):
         if x == y:
             continue
@@ -131,14 +145,14 @@ def _fit(a: list[str], b: list[str]) -> bool:
                 return False
         elif x[0] == "=" and y[0] == "=":
             return False  # both read in the less usual order: no typing errors there
-        elif not within_word(x.lstrip("="), y.lstrip("=")):
+        elif x.lstrip("=") != y.lstrip("=") and (x.lstrip("="), y.lstrip("=")) not in near:
             return False
     return True
 
 
-def compatible(a: str, b: str) -> bool:
-    """Whether two sets of given names may be one person's."""
-    return any(_fit(x, y) for x in _forms(a) for y in _forms(b))
+def compatible(a: str, b: str, near: Near) -> bool:
+    """Whether two sets of given names may be one person's; near: words that are one error apart, both ways."""
+    return any(_fit(x, y, near) for x in _forms(a) for y in _forms(b))
 
 
 def opposed(a: str, b: str) -> bool:
@@ -146,56 +160,68 @@ def opposed(a: str, b: str) -> bool:
     return not any(all(p.lstrip(".=")[:1] == q.lstrip(".=")[:1] for p, q in zip(x[1:], y[1:])) for x in _forms(a) for y in _forms(b))
 
 
-def people(spellings: list[tuple[str, str, int]]) -> list[list[str]]:
-    """Sets of names that mean one person; all have one surname and first letter.
+def people(forms: list[tuple[str, int]], near: Near) -> list[int]:
+    """The number of the person that each set of given names means; all have one surname and first letter.
 
     Full names come first, often used ones before others, and found the sets. A name joins the one set that has a compatible
-    member and no opposed one; where several do, its own forms are a set.
+    member and no opposed one; where several do, its own forms are a set. Sets are looked up by the first given name, so only
+    bare initials are held against all, until a second one fits.
     """
-    by_given, uses = defaultdict(list), defaultdict(int)
-    for name, given, n in spellings:
-        by_given[given].append(name)
-        uses[given] += n
-    order = sorted(by_given, key=lambda g: (-sum(p[0] != "." for p in g.split()), -len(g.split()), -uses[g], g))
-    sets: list[tuple[list[str], list[str]]] = []
-    for g in order:
-        fits = [s for s in sets if any(compatible(g, o) for o in s[0]) and not any(opposed(g, o) for o in s[0])]
+    order = sorted(range(len(forms)), key=lambda i: (-sum(p[0] != "." for p in forms[i][0].split()), -len(forms[i][0].split()), -forms[i][1], forms[i][0]))
+    beside: dict[str, list[str]] = defaultdict(list)
+    for x, y in near:
+        beside[x].append(y)
+    sets: list[list[str]] = []
+    by_first: dict[str, set[int]] = defaultdict(set)
+    out = [0] * len(forms)
+    for i in order:
+        g = forms[i][0]
+        first = g.split()[0].lstrip("=-") if g else ""
+        if first[:1] in ("", "."):
+            places: Iterable[int] = range(len(sets))
+        else:
+            places = sorted(set().union(*(by_first[w] for w in (first, *beside[first], "."))))
+        fits = []
+        for n in places:
+            if any(compatible(g, o, near) for o in sets[n]) and not any(opposed(g, o) for o in sets[n]):
+                fits.append(n)
+                if len(fits) > 1:
+                    break
         if len(fits) == 1:
-            fits[0][0].append(g)
-            fits[0][1].extend(by_given[g])
+            n = fits[0]
+            sets[n].append(g)
         else:
-            sets.append(([g], list(by_given[g])))
-    return [names for _, names in sets]
-
+            n = len(sets)
+            sets.append([g])
+        by_first["." if first[:1] in ("", ".") else first].add(n)
+        out[i] = n
+    return out
 
-def segment_links(tokens: DataFrame) -> DataFrame:
-    """(p, token, canon): spellings that are one error away from a commoner one of the same p.
 
-    tokens: p, token, its number n of uses and m of names that have it. A spelling that several names have, and that is not
-    much rarer than the other, is a name of its own.
-    """
-    t = tokens.where(F.length("token") >= MIN_TYPO).withColumn("len", F.length("token"))
+def segment_join(words: DataFrame, scope: list[str], word: str = "word") -> DataFrame:
+    """(scope, a, b): pairs of different words of one scope that are one typing error apart, each once, a < b."""
+    t = words.select(*scope, F.col(word).alias("_w")).where(F.length("_w") > 0).distinct().withColumn("_len", F.length("_w"))
     cut = lambda n, i: F.floor(n * i / SEGMENTS).cast("int")
-    index = t.select("p", F.col("token").alias("t2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.explode(F.array(*[F.xxhash64("p", "len", F.lit(i), F.substring(F.col("token"), cut(F.col("len"), i) + 1, cut(F.col("len"), i + 1) - cut(F.col("len"), i))) for i in range(SEGMENTS)])).alias("k"))
-    probes = []
-    for less in (0, 1):
-        n = F.col("len") - less
-        for i in range(SEGMENTS):
-            for shift in {0, less}:
-                probes.append(F.xxhash64("p", n, F.lit(i), F.substring(F.col("token"), cut(n, i) + 1 + shift, cut(n, i + 1) - cut(n, i))))
-    probe = t.select(F.col("p").alias("p1"), F.col("token").alias("t1"), F.col("n").alias("n1"), F.col("m").alias("m1"), F.explode(F.array_distinct(F.array(*probes))).alias("k"))
-    near = probe.join(index, "k").where((F.col("p") == F.col("p1")) & (F.col("t1") != F.col("t2")))
-    d = F.levenshtein("t1", "t2", 2)
-    swap = lambda i: F.concat(F.substr(F.col("t1"), F.lit(1), i - 1), F.substr(F.col("t1"), i + 1, F.lit(1)), F.substr(F.col("t1"), i, F.lit(1)), F.substr(F.col("t1"), i + 2))
-    swapped = (F.length("t1") == F.length("t2")) & F.exists(F.sequence(F.lit(1), F.length("t1") - 1), lambda i: swap(i) == F.col("t2"))
-    near = near.where((d == 1) | ((d == 2) & swapped)).select("p", "t1", "n1", "m1", "t2", "n2", "m2")
-    both = near.unionByName(near.select("p", F.col("t2").alias("t1"), F.col("n2").alias("n1"), F.col("m2").alias("m1"), F.col("t1").alias("t2"), F.col("n1").alias("n2"), F.col("m1").alias("m2")))
-    # towards the commoner spelling; two common ones are two names
-    down = both.where((F.col("n2") > F.col("n1")) | ((F.col("n2") == F.col("n1")) & (F.col("t2") < F.col("t1")))).where((F.col("m1") == 1) | (F.col("n1") <= 2) | (F.col("n2") >= 3 * F.col("n1")))
-    best = down.groupBy("p", F.col("t1").alias("token")).agg(F.max(F.struct("n2", F.col("t2").alias("canon"))).alias("b")).select("p", "token", F.col("b.canon").alias("canon"))
-    best = checkpointed(best)
-    further = best.select("p", F.col("token").alias("canon"), F.col("canon").alias("further"))
-    return best.join(further, ["p", "canon"], "left").select("p", "token", F.coalesce("further", "canon").alias("canon"))
+    segment = lambda n, i, shift=0: F.xxhash64(*scope, n, F.lit(i), F.substring(F.col("_w"), cut(n, i) + 1 + shift, cut(n, i + 1) - cut(n, i)))
+    index = t.select(*scope, F.col("_w").alias("b"), F.explode(F.array_distinct(F.array(*[segment(F.col("_len"), i) for i in range(SEGMENTS)]))).alias("_k"))
+    probes = [segment(F.col("_len") - less, i, shift) for less in (0, 1) for i in range(SEGMENTS) for shift in {0, less}]
+    probe = t.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("_w").alias("a"), F.explode(F.array_distinct(F.array(*probes))).alias("_k"))
+    near = probe.join(index, "_k").where(F.col("a") != F.col("b"))
+    for c in scope:  # hashes may collide
+        near = near.where(F.col(c) == F.col(f"_{c}"))
+    d = F.levenshtein("a", "b", 2)
+    swap = lambda i: F.concat(F.substr(F.col("a"), F.lit(1), i - 1), F.substr(F.col("a"), i + 1, F.lit(1)), F.substr(F.col("a"), i, F.lit(1)), F.substr(F.col("a"), i + 2))
+    swapped = (F.length("a") == F.length("b")) & F.exists(F.sequence(F.lit(1), F.length("a") - 1), lambda i: swap(i) == F.col("b"))
+    near = near.where((d == 1) | ((d == 2) & swapped))
+    return near.select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _roots(pairs: DataFrame, word: str) -> DataFrame:
+    """(p, word, canon): each word of a pair (p, a, b) with the least word of its component; p has no line break."""
+    key = lambda c: F.concat_ws("\n", "p", c)
+    roots = connected(pairs.select(key("a").alias("a"), key("b").alias("b")))
+    part = lambda c, i: F.element_at(F.split(c, "\n"), i)
+    return roots.select(F.regexp_replace("node", r"\n[^\n]*$", "").alias("p"), part("node", -1).alias(word), part("root", -1).alias("canon"))
 
 
 class JournalList:
@@ -299,53 +325,92 @@ class JournalList:
         return best if score else ()
 
 
-def _pairs(p: str, field: str, names: list[str]) -> Iterator[tuple[str, str, str, str]]:
-    names = sorted(set(names))
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            yield p, field, a, b
-
-
-def person_variants(rows: DataFrame, profile: str, authors: str) -> DataFrame:
-    """(p, field, name_a, name_b) of the people on each profile."""
+def _letter(given):
+    return F.regexp_extract(given, r"\p{L}", 0)
+
+
+def surname_links(forms: DataFrame) -> DataFrame:
+    """(p, a, b): surnames of a profile that are one error apart and, by the given names, mean the same."""
+    first = F.regexp_replace(F.element_at(F.split("given", " "), 1), "^=", "")
+    f = forms.select("p", "token", _letter("given").alias("i"), F.when(~first.startswith(".") & (first != ""), first).alias("f"), "n")
+    long = segment_join(f.where(F.length("token") >= MIN_TYPO), ["p"], "token")
+    full = forms.where(F.col("given").rlike(r"(?:^| )=?\p{L}{2}"))
+    short = segment_join(full.where(F.length("token") < MIN_TYPO), ["p", "given"], "token").select("p", "a", "b")
+    # pairs across the border of length
+    across = segment_join(full.where(F.length("token").isin(MIN_TYPO - 1, MIN_TYPO)), ["p", "given"], "token").where(F.length("a") != F.length("b")).select("p", "a", "b")
+    uses = f.groupBy("p", "token").agg(F.sum("n").alias("n"))
+    pairs = long.join(uses.withColumnRenamed("token", "a"), ["p", "a"]).join(uses.select("p", F.col("token").alias("b"), F.col("n").alias("n2")), ["p", "b"])
+    rare = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("a") > F.col("b")))
+    pairs = pairs.select("p", F.when(rare, F.col("a")).otherwise(F.col("b")).alias("t1"), F.when(rare, F.col("b")).otherwise(F.col("a")).alias("t2"))
+    # every person of the rarer spelling must be one of the other
+    mine = f.select("p", F.col("token").alias("t1"), "i", "f").distinct()
+    theirs = f.groupBy("p", F.col("token").alias("t2"), "i").agg(F.collect_set("f").alias("fs"), F.max(F.col("f").isNull()).alias("initial"))
+    seen = pairs.join(mine, ["p", "t1"]).join(theirs, ["p", "t2", "i"], "left")
+    near = lambda x: (x == F.col("f")) | ((F.levenshtein(x, "f", 2).between(0, 2)) & (F.length("f") > 3) & (F.length(x) > 2))
+    fits = F.when(F.col("fs").isNull(), False).when(F.col("f").isNull() | (F.size("fs") == 0), True).otherwise(F.exists("fs", near))
+    agreed = seen.groupBy("p", "t1", "t2").agg(F.min(fits).alias("ok")).where("ok").select("p", F.col("t1").alias("a"), F.col("t2").alias("b"))
+    return agreed.unionByName(short).unionByName(across)
+
+
+def person_classes(rows: DataFrame, profile: str, authors: str) -> DataFrame:
+    """(p, field, c, name): the spellings of the people on each profile, c being the person."""
     items = split_values(rows.where(F.col(profile).isNotNull()), authors, [profile], "name", "_no").select(F.col(profile).alias("p"), "name")
     names = items.groupBy("p", "name").agg(F.count("*").alias("n"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(p, n, c, s, g) for p, n, c in zip(b["p"], b["name"], b["n"]) for s, g in parse_name(n) if s]
-            yield pd.DataFrame(out, columns=["p", "name", "n", "token", "given"])
-
-    forms = checkpointed(names.mapInPandas(parse, "p string, name string, n long, token string, given string"))
-    links = segment_links(forms.groupBy("p", "token").agg(F.sum("n").alias("n"), F.count("*").alias("m")))
-    keyed = forms.join(links, ["p", "token"], "left").select("p", F.coalesce("canon", "token").alias("s"), F.regexp_extract("given", r"\p{L}", 0).alias("i"), "name", "given", "n")
+            out = [(p, n, c, s, g, nickname_in(n)) for p, n, c in zip(b["p"], b["name"], b["n"]) for s, g in parse_name(n) if s]
+            yield pd.DataFrame(out, columns=["p", "name", "n", "token", "given", "nick"])
+
+    forms = checkpointed(names.mapInPandas(parse, "p string, name string, n long, token string, given string, nick string"))
+    # nicknames that a name explains stand for the given name wherever the profile has them with that surname
+    head = F.element_at(F.split("given", " "), 1)
+    told = forms.where("nick <> ''").select("p", "token", "nick", head.alias("f")).where(F.col("f").rlike(r"^\p{L}{2}"))
+    told = told.groupBy("p", "token", "nick").agg(F.min("f").alias("f"), F.max("f").alias("g")).where("f = g and f <> nick").drop("g")
+    forms = forms.withColumn("head", head).drop("nick").join(told.withColumnRenamed("nick", "head"), ["p", "token", "head"], "left")
+    given = F.when(F.col("f").isNotNull(), F.concat("f", F.substr("given", F.length("head") + 1))).otherwise(F.col("given"))
+    forms = checkpointed(forms.select("p", "name", "n", "token", given.alias("given")))
+
+    canon = _roots(surname_links(forms), "token")
+    keyed = forms.join(canon, ["p", "token"], "left").select("p", F.coalesce("canon", "token").alias("s"), _letter("given").alias("i"), "name", "given", "n")
+    keyed = checkpointed(keyed)
+    # names have different forms of which a person has few; only these and the pairs of words one error apart go through Python
+    scope = ["p", "s", "i"]
+    distinct = keyed.groupBy(*scope, "given").agg(F.sum("n").alias("n"))
+    words = distinct.select(*scope, F.explode(F.split(F.regexp_replace("given", "(^| )[-=]+", "$1"), " ")).alias("word")).where(~F.col("word").startswith(".") & (F.length("word") >= 3))
+    near = segment_join(words, scope).where((F.length("a") >= 4) | (F.length("b") >= 4))
+    rows_of = distinct.select(*scope, F.lit(1).alias("kind"), F.col("given").alias("x"), F.lit("").alias("y"), "n").unionByName(near.select(*scope, F.lit(0).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), F.lit(0).cast("long").alias("n")))
 
     def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+        key: tuple | None = None
+        held: list[tuple[str, int]] = []
+        pairs: Near = set()
 
         def close() -> list:
-            if key is None or len(held) < 2:
-                return []
-            return [x for names in people(held) if len(names) > 1 for x in _pairs(key[0], "authors", names)]
+            return [(*key, g, k) for (g, _), k in zip(held, people(held, pairs))] if key else []
 
         for b in batches:
             out = []
-            for p, s, i, name, given, n in zip(b["p"], b["s"], b["i"], b["name"], b["given"], b["n"]):
+            for p, s, i, kind, x, y, n in zip(b["p"], b["s"], b["i"], b["kind"], b["x"], b["y"], b["n"]):
                 if key != (p, s, i):
                     out += close()
-                    key, held = (p, s, i), []
-                held.append((name, given, n))
+                    key, held, pairs = (p, s, i), [], set()
+                if kind:
+                    held.append((x, n))
+                else:
+                    pairs |= {(x, y), (y, x)}
             if out:
-                yield pd.DataFrame(out, columns=["p", "field", "name_a", "name_b"])
+                yield pd.DataFrame(out, columns=["p", "s", "i", "given", "person"])
         if out := close():
-            yield pd.DataFrame(out, columns=["p", "field", "name_a", "name_b"])
+            yield pd.DataFrame(out, columns=["p", "s", "i", "given", "person"])
 
-    sets = keyed.repartition("p", "s", "i").sortWithinPartitions("p", "s", "i", "name").mapInPandas(group, "p string, field string, name_a string, name_b string")
-    return sets.distinct()
+    sets = rows_of.repartition(*scope).sortWithinPartitions(*scope, "kind").mapInPandas(group, "p string, s string, i string, given string, person int")
+    members = keyed.join(sets, [*scope, "given"])
+    return members.select("p", F.lit("authors").alias("field"), F.concat_ws("\n", "s", "i", "person").alias("c"), "name").distinct()
 
 
-def journal_variants(rows: DataFrame, profile: str, journal: str, usual: DataFrame) -> DataFrame:
-    """(p, field, name_a, name_b) of the journals on each profile; usual: (key, name)."""
+def journal_classes(rows: DataFrame, profile: str, journal: str, usual: DataFrame) -> DataFrame:
+    """(p, field, c, name): the spellings of the journals on each profile, c being the journal; usual: (key, name)."""
     listed = [(r[0], r[1]) for r in bounded_rows(usual, MAX_LIST, "list of usual spellings") if r[1]]
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(listed)
@@ -366,15 +431,30 @@ def journal_variants(rows: DataFrame, profile: str, journal: str, usual: DataFra
     seen = sure.select("p", "c").distinct()
     maybe = found.where(F.size("keys") > 1).select("p", "name", F.explode("keys").alias("k")).select("p", "name", F.concat(F.lit("#"), "k").alias("c")).join(seen, ["p", "c"])
     maybe = maybe.groupBy("p", "name").agg(F.min("c").alias("c"), F.count("*").alias("m")).where("m = 1").select("p", "name", "c")
-    loose = found.where(F.size("keys") == 0).where("token <> ''").select("p", "name", "n", "token")
-    links = segment_links(loose.groupBy("p", "token").agg(F.sum("n").alias("n"), F.count("*").alias("m")))
+    loose = found.where(F.size("keys") == 0).where("token <> ''").select("p", "name", "token")
+    links = _roots(segment_join(loose.where(F.length("token") >= MIN_TYPO), ["p"], "token"), "token")
     other = loose.join(links, ["p", "token"], "left").select("p", "name", F.coalesce("canon", "token").alias("c"))
-    sets = sure.unionByName(maybe).unionByName(other).groupBy("p", "c").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
-    a = sets.select("p", "names", F.posexplode("names").alias("i", "name_a"))
-    return a.select("p", F.lit("journal").alias("field"), "name_a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("name_b"))
+    return sure.unionByName(maybe).unionByName(other).select("p", F.lit("journal").alias("field"), "c", "name")
+
+
+def name_members(rows: DataFrame, usual_journals: DataFrame, profile: str, authors: str, journal: str) -> DataFrame:
+    return person_classes(rows, profile, authors).unionByName(journal_classes(rows, profile, journal, usual_journals))
 
 
 def name_variants(rows: DataFrame, usual_journals: DataFrame, profile: str = "scrap_auth_id", authors: str = "authors", journal: str = "journal") -> DataFrame:
     """(profile, field, name_a, name_b): every pair of spellings on a profile that mean the same person or journal."""
-    both = person_variants(rows, profile, authors).unionByName(journal_variants(rows, profile, journal, usual_journals))
-    return both.select(F.col("p").alias(profile), "field", "name_a", "name_b")
+    m = checkpointed(name_members(rows, usual_journals, profile, authors, journal))
+    key = ["p", "field", "c"]
+    pairs = m.withColumnRenamed("name", "name_a").join(m.withColumnRenamed("name", "name_b"), key).where("name_a < name_b")
+    # names that can be read in two orders may meet in two classes
+    return pairs.select(F.col("p").alias(profile), "field", "name_a", "name_b").distinct()
+
+
+def name_classes(rows: DataFrame, usual_journals: DataFrame, profile: str = "scrap_auth_id", authors: str = "authors", journal: str = "journal") -> DataFrame:
+    """(profile, field, class, name, n_names): classes of at least two spellings, named by the least of them, with their members.
+
+    A name that can be read in two orders may be a member of two classes; classes of the same names are one.
+    """
+    m = checkpointed(name_members(rows, usual_journals, profile, authors, journal))
+    per = m.groupBy("p", "field", "c").agg(F.min("name").alias("class"), F.count("*").alias("n_names")).where("n_names > 1")
+    return m.join(per, ["p", "field", "c"]).select(F.col("p").alias(profile), "field", "class", "name", "n_names").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.format_duplicates import duplicate_rows, format_duplicates
 from citeloom.llm.mixing import largest_deviation, mix_texts, share_report
-from citeloom.llm.name_variants import name_variants
+from citeloom.llm.name_variants import name_classes, name_variants
 from citeloom.llm.packing import pack_report, pack_texts
 from citeloom.llm.sentences import split_sentences
 from citeloom.llm.term_frequency import term_frequency
@@ -29,6 +29,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants(read_table(spark, sf_dir, "papers_raw").select("scrap_auth_id", "authors", "journal"), usual)
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links as classes with their members."""
+    usual = read_table(spark, sf_dir, "journal_list").select("journal_id", "name")
+    return name_classes(read_table(spark, sf_dir, "papers_raw").select("scrap_auth_id", "authors", "journal"), usual)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated(read_table(spark, sf_dir, "papers_raw"), "description", "row_id", "publisher").where("score > 0").select("row_id")
 
@@ -83,4 +89,4 @@ def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.col("end_char") - F.col("start_char")).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p2_found, p4_found, p4_rates, p5_found, p5_classes, p6_pack, p6_report, p7_mix, p7_shares, p7_deviation, p7_mix_exact, p7_shares_exact, p8_found, p8_lengths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p2_found, p2_classes, p4_found, p4_rates, p5_found, p5_classes, p6_pack, p6_report, p7_mix, p7_shares, p7_deviation, p7_mix_exact, p7_shares_exact, p8_found, p8_lengths)}

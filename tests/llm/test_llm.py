@@ -91,12 +91,66 @@ def test_journals(spark):
 
 
 def test_segment_join_against_all_pairs(spark):
+    """Every pair of words one error apart, however short, and none across scopes."""
     rnd = random.Random(4)
-    words = list({"".join(rnd.choice("abc") for _ in range(rnd.randint(5, 9))) for _ in range(150)})
-    t = spark.createDataFrame([("p", w, 1, 1) for w in words], "p string, token string, n long, m long")
-    got = {r.token for r in name_variants.segment_links(t).collect()}
-    brute = {a for a in words for b in words if b < a and name_variants.within_one(a, b)}
-    assert got == brute
+    words = list({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))) for _ in range(220)})
+    scopes = {w: rnd.choice("pq") for w in words}
+    t = spark.createDataFrame([(scopes[w], w) for w in words] * 2, "p string, word string").withColumn("a", F.lit("clash"))
+    got = [(r.p, r.a, r.b) for r in name_variants.segment_join(t, ["p"]).collect()]
+    brute = {(scopes[a], a, b) for a in words for b in words if a < b and scopes[a] == scopes[b] and name_variants.within_one(a, b)}
+    assert len(got) == len(set(got)) and set(got) == brute
+
+
+def pair_set(spark, names):
+    return {frozenset((a, b)) for _, f, a, b in linked(spark, names) if f == "authors"}
+
+
+def test_links_do_not_depend_on_counts(spark):
+    """A profile scraped again and again has the same links."""
+    names = ["Michael Ivatkmayer", "M Ivarkmayer", "Eva Ivarkmayer", "E. Ivatkmayer", "Rhea Lindhart", "Rhea Lindhardt", "Maria Lindhart", "Marek Lindhardt"]
+    once = pair_set(spark, names)
+    assert once == pair_set(spark, names * 4) == pair_set(spark, names + names[:3] * 5)
+    assert frozenset(("Michael Ivatkmayer", "M Ivarkmayer")) in once and frozenset(("Maria Lindhart", "Marek Lindhardt")) not in once
+
+
+def test_chains_and_short_surnames(spark):
+    chain = ["Noor Abcdefghij", "Noor Abcdefghik", "Noor Abcdefghlk", "Noor Abcdefgmlk", "Noor Abcdefnmlk"]
+    assert len(pair_set(spark, chain)) == 10
+    got = pair_set(spark, ["Jennifer Wong", "Jennifer Wang", "J. Li", "Jun Lu", "Lena Gray", "Lena Grays"])
+    assert got == {frozenset(("Jennifer Wong", "Jennifer Wang")), frozenset(("Lena Gray", "Lena Grays"))}
+
+
+def test_nicknames_that_the_profile_explains(spark):
+    got = pair_set(spark, ['Guillermo "Memo" Orvelenko', "Memo Orvelenko", "Guillermo Orvelenko", "Memo Tosk", "Bob Tosk", "Robert Tosk"])
+    memo = ['Guillermo "Memo" Orvelenko', "Memo Orvelenko", "Guillermo Orvelenko"]
+    assert got == {frozenset((memo[i], memo[j])) for i in range(3) for j in range(i)} | {frozenset(("Bob Tosk", "Robert Tosk"))}
+
+
+def test_name_classes(spark):
+    """One row for each member; the pairs of the classes are the links."""
+    df = spark.createDataFrame([("p", n, j) for n, j in (("Eva Gray", "Optics X"), ("E. Gray", "optics x."), ("Eva Gray, PhD", None), ("Wei Plov", "Other"))], "scrap_auth_id string, authors string, journal string")
+    usual = spark.createDataFrame([(1, "Journal of Thin Films")], "k int, name string")
+    got = rows(name_variants.name_classes(df, usual))
+    eva = [("p", "authors", "E. Gray", n, 3) for n in ("E. Gray", "Eva Gray", "Eva Gray, PhD")]
+    eva += [("p", "authors", "Eva Gray", n, 2) for n in ("Eva Gray", "Eva Gray, PhD")]  # read with the surname first
+    assert got == sorted([*eva, ("p", "journal", "Optics X", "Optics X", 2), ("p", "journal", "Optics X", "optics x.", 2)], key=repr)
+    members = defaultdict(set)
+    for _, f, c, n, k in got:
+        members[f, c, k].add(n)
+    pairs = {(f, a, b) for (f, *_), ns in members.items() for a in ns for b in ns if a < b}
+    assert pairs == {(f, a, b) for _, f, a, b in rows(name_variants.name_variants(df, usual))}
+    assert name_variants.name_classes(df.limit(0), usual).count() == 0
+
+
+def test_many_people_of_one_surname_and_letter():
+    """Sets are found by the first given name; bare initials stay alone among many."""
+    from itertools import product
+
+    names = ["m" + "".join(x) for x in product("aeiou", "klmnr", "aeiou", "st", "xyz")]
+    forms = [(n, 1) for n in names] + [(f"{n} .k", 1) for n in names] + [(".m", 9)]
+    got = name_variants.people(forms, set())
+    k = len(names)
+    assert got[:k] == got[k : 2 * k] and len(set(got)) == k + 1
 
 
 # --- truncated texts
