@@ -1,65 +1,60 @@
 """Fit and transform: encoders, truncated SVD, resampling, ridge, cross validation and boosted trees.
 
-What is collected is a k x k matrix or a vocabulary of bounded size, never rows.
+What is collected is a k x k matrix, or one row a feature while the features are few; never rows of papers.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions import columns as C
+from citeloom.operators import text as X
 from citeloom.operators.relational import row_positions
-from citeloom.operators.text import MIN_DF
-from citeloom.sinks.files import shared_path
+from citeloom.session import checkpointed
 
-VOCABULARY = 100_000
+#: Up to so many features a thin matrix is multiplied on the executors from a broadcast; with more it is a table and is joined.
+BROADCAST_FEATURES = 250_000
+#: Most passes of the subspace iteration, and the change of the singular values at which it ends.
+PASSES, SETTLED = 60, 1e-7
 #: Most rounds of boosting, and rounds without a lower error on held rows after which it stops.
 ROUNDS, PATIENCE = 100, 15
 
 
-def paper_arrays(papers: DataFrame) -> DataFrame:
-    """Token arrays of the fields that are encoded; NULL fields are empty."""
-    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    return papers.withColumns({
-        "title_tokens": some(C.clean_tokens(C.split_keep(F.lower("titleid"), " "))),
-        "author_tokens": some(F.transform(C.split_keep(F.col("authors"), ","), lambda x: F.lower(C.strip(x)))),
-        "journal_tokens": some(F.filter(F.array(C.clean_journal(F.col("journal"))), lambda x: x.isNotNull())),
-        "publisher_tokens": some(F.filter(F.array("publisher"), lambda x: x.isNotNull())),
-        "author_id_tokens": some(F.split("author_ids", " ")),
-        "year_tokens": some(F.filter(F.array(C.year_bucket(F.col("year"))), lambda x: x.isNotNull())),
-        **{f"no_{c}": C.missing_flag(F.col(c)).cast("double") for c in ("pages", "vol", "issue")},
-    })
+@dataclass
+class Encoder:
+    """Fitted vocabulary (field, term, df, index) without any bound but the thresholds, and the variants of title words."""
 
+    vocabulary: DataFrame
+    lemmas: DataFrame
+    size: int
 
-def encoder(min_df: dict[str, int] = MIN_DF) -> Pipeline:
-    """Binary presence of the frequent tokens of each field, in a fixed order of blocks; fitted vocabularies stay in the model."""
-    stages = []
-    for field in ("title", "author", "journal", "publisher", "author_id", "year"):
-        stages.append(CountVectorizer(inputCol=f"{field}_tokens", outputCol=f"{field}_vec", binary=True, minDF=float(min_df.get(field, 1)), vocabSize=VOCABULARY))
-    stages.append(VectorAssembler(inputCols=[*[s.getOutputCol() for s in stages], "no_pages", "no_vol", "no_issue"], outputCol="features"))
-    return Pipeline(stages=stages)
 
+def fit_encoder(papers: DataFrame, min_df: dict[str, int] = X.MIN_DF) -> Encoder:
+    """papers: as in raw_features. Features are numbered in the order of field and term."""
+    raw = checkpointed(X.raw_features(papers))
+    lemmas = checkpointed(X.title_lemmas(raw))
+    vocabulary = row_positions(X.frequent(X.with_lemmas(raw, lemmas), min_df), [F.asc("field"), F.asc("term")], "index")
+    vocabulary = checkpointed(vocabulary.withColumn("index", F.col("index").cast("int")))
+    return Encoder(vocabulary, lemmas, vocabulary.count())
 
-SPARSE = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
+def encode(papers: DataFrame, encoder: Encoder, keep: list[str]) -> DataFrame:
+    """``keep`` and (indices, values) of the features of each paper; unseen terms are ignored, a paper may have none.
 
-def sparse_columns(df: DataFrame, vectors: str) -> DataFrame:
-    """Vectors as plain columns (indices, values): written once and read back by their storage type, which also cuts the lineage."""
-    path = shared_path(df.sparkSession, "vectors")
-    df.write.parquet(path)
-    plain = ", ".join(f"`{f.name}` {SPARSE if f.name == vectors else f.dataType.simpleString()}" for f in df.schema.fields)
-    back = df.sparkSession.read.schema(plain).parquet(path)
-    v = F.col(vectors)
-    dense = F.sequence(F.lit(0), F.size(v["values"]) - 1)
-    return back.withColumn("indices", F.coalesce(v["indices"], dense)).withColumn("values", v["values"]).drop(vectors)
+    What is gathered in a row are the features of one paper.
+    """
+    seen = X.with_lemmas(X.raw_features(papers), encoder.lemmas).join(encoder.vocabulary.select("field", "term", "index"), ["field", "term"])
+    rows = seen.groupBy(F.col("doc_id").alias("row_id")).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+    out = papers.select("row_id", *[c for c in keep if c != "row_id"]).join(rows, "row_id", "left")
+    indices = F.coalesce("indices", F.array().cast("array<int>"))
+    return out.withColumn("indices", indices).withColumn("values", F.transform("indices", lambda _: F.lit(1.0)))
 
 
 def _times(index: pd.Series, value: pd.Series, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,16 +67,28 @@ def _times(index: pd.Series, value: pd.Series, m: np.ndarray) -> tuple[np.ndarra
     return out, flat, x, row
 
 
-def truncated_svd(df: DataFrame, n: int, k: int, passes: int = 6, extra: int = 8, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Singular values and right vectors (n x k) of rows (indices, values), uncentred; each vector's largest entry is positive.
+def _top(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and the directions within the subspace, greatest first."""
+    w, u = np.linalg.eigh((gram + gram.T) / 2)
+    order = np.argsort(-w)[:k]
+    return np.sqrt(np.maximum(w[order], 0)), u[:, order]
+
+
+def _settled(s: np.ndarray, last: np.ndarray | None) -> bool:
+    return last is not None and bool(np.all(np.abs(s - last) <= SETTLED * max(float(s[0]) if len(s) else 0.0, 1e-300)))
 
-    Subspace iteration: a pass multiplies all rows by a thin matrix and back, sums are combined per feature before and after the
-    shuffle, and one row a feature comes to the driver; n is a vocabulary, so it is bounded. Exact for n up to 256.
+
+def truncated_svd(df: DataFrame, n: int, k: int, passes: int = PASSES, extra: int = 8, seed: int = 7, broadcast: int = BROADCAST_FEATURES) -> tuple[np.ndarray, np.ndarray | DataFrame]:
+    """Singular values and right vectors of rows (indices, values), uncentred; each vector's largest entry is positive.
+
+    Subspace iteration until the singular values settle; exact at once for n up to 256. The vectors are an array (n x k), or with
+    more than ``broadcast`` features a table (index, v0, v1, ...).
     """
-    if n > VOCABULARY * 8:
-        raise ValueError("too many features for a matrix on the driver")
+    if n > broadcast:
+        return _joined_svd(df, k, passes, extra, seed)
     exact = n <= 256
     q = np.eye(n) if exact else np.linalg.qr(np.random.default_rng(seed).normal(size=(n, k + extra)))[0]
+    s = last = u = None
     for _ in range(1 if exact else passes):
         shared, width = df.sparkSession.sparkContext.broadcast(q), q.shape[1]
 
@@ -99,17 +106,60 @@ def truncated_svd(df: DataFrame, n: int, k: int, passes: int = 6, extra: int = 8
         z = np.zeros((n, width))
         got = parts.groupBy("f").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
         z[got["f"].to_numpy()] = got[names].to_numpy()
-        gram_small = q.T @ z
-        last, q = q, (q if exact else np.linalg.qr(z)[0])
-    w, u = np.linalg.eigh((gram_small + gram_small.T) / 2)
-    order = np.argsort(-w)[:k]
-    v = last @ u[:, order]
-    v = v * np.where(v[np.abs(v).argmax(axis=0), range(v.shape[1])] < 0, -1, 1)
-    return np.sqrt(np.maximum(w[order], 0)), v
-
-
-def project(df: DataFrame, v: np.ndarray, out: str = "components") -> DataFrame:
-    """Multiply rows (indices, values) by the right vectors; the matrix is as long as the vocabulary, which is bounded."""
+        before, (s, u) = q, _top(q.T @ z, k)
+        if exact or _settled(s, last):
+            break
+        last, q = s, np.linalg.qr(z)[0]
+    v = before @ u
+    return s, v * np.where(v[np.abs(v).argmax(axis=0), range(v.shape[1])] < 0, -1, 1)
+
+
+def _joined_svd(df: DataFrame, k: int, passes: int, extra: int, seed: int) -> tuple[np.ndarray, DataFrame]:
+    """The same iteration with the thin matrix as a table of one row a feature; only its k x k products come to the driver."""
+    rows = df.select("indices", "values").withColumn("r", F.monotonically_increasing_id())  # before they are taken apart
+    row = rows.select("r", F.explode(F.arrays_zip("indices", "values")).alias("e"))
+    entries = checkpointed(row.select("r", F.col("e.indices").alias("index"), F.col("e.values").alias("x")))
+    width = k + extra
+    c = [f"c{j}" for j in range(width)]
+
+    def product(t: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+        sums = t.agg(*[F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)) for a in left for b in right]).first()
+        return np.array(sums, float).reshape(len(left), len(right))
+
+    def times(t: DataFrame, m: np.ndarray, out: list[str], keep: list[str]) -> DataFrame:
+        return t.select(*keep, *[sum((F.col(a) * float(m[i, j]) for i, a in enumerate(c)), F.lit(0.0)).alias(o) for j, o in enumerate(out)])
+
+    def orthonormal(t: DataFrame) -> DataFrame:
+        for _ in range(2):  # once more for what the first leaves
+            w, u = np.linalg.eigh(product(t, c, c))
+            t = times(t, u * np.where(w > 1e-12 * max(w.max(), 1e-300), 1 / np.sqrt(np.maximum(w, 1e-300)), 0), c, ["index"])
+        return checkpointed(t)
+
+    unit = lambda j: F.xxhash64(F.lit(seed), F.lit(j), "index") / F.lit(float(2**63))
+    q = orthonormal(entries.select("index").distinct().select("index", *[unit(j).alias(x) for j, x in enumerate(c)]))
+    s = last = u = None
+    for _ in range(passes):
+        y = entries.join(q, "index").groupBy("r").agg(*[F.sum(F.col("x") * F.col(x)).alias(x) for x in c])
+        z = checkpointed(entries.join(y, "r").groupBy("index").agg(*[F.sum(F.col("x") * F.col(x)).alias(x) for x in c]))
+        both = q.join(z.select("index", *[F.col(x).alias(f"z{x}") for x in c]), "index")
+        before, (s, u) = q, _top(product(both, c, [f"z{x}" for x in c]), k)
+        if _settled(s, last):
+            break
+        last, q = s, orthonormal(z)
+    names = [f"v{j}" for j in range(k)]
+    v = checkpointed(times(before, u, names, ["index"]))
+    peak = v.agg(*[F.max_by(x, F.struct(F.abs(F.col(x)), -F.col("index"))) for x in names]).first()
+    return s, v.select("index", *[(F.col(x) * (-1.0 if (p or 0) < 0 else 1.0)).alias(x) for x, p in zip(names, peak)])
+
+
+def project(df: DataFrame, v: np.ndarray | DataFrame, out: str = "components", key: str = "row_id") -> DataFrame:
+    """Multiply rows (indices, values) by the right vectors, from a broadcast or, if they are a table, by a join over the key."""
+    if isinstance(v, DataFrame):
+        names = [x for x in v.columns if x != "index"]
+        e = df.select(key, F.explode(F.arrays_zip("indices", "values")).alias("e")).select(key, F.col("e.indices").alias("index"), F.col("e.values").alias("x"))
+        y = e.join(v, "index").groupBy(key).agg(*[F.sum(F.col("x") * F.col(x)).alias(x) for x in names])
+        zero = F.array(*[F.coalesce(x, F.lit(0.0)) for x in names])
+        return df.drop("indices", "values").join(y, key, "left").withColumn(out, zero).drop(*names)
     shared = df.sparkSession.sparkContext.broadcast(v)
 
     @F.pandas_udf("array<double>")
@@ -174,12 +224,8 @@ def ridge_score(df: DataFrame, components: str, w: np.ndarray, out: str = "score
 def auc(df: DataFrame, score: str, label: str) -> float:
     """Area under the ROC curve by mid-ranks of distinct scores, from counts per score."""
     per = df.groupBy(F.round(score, 9).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    pos = row_positions(per.withColumn("q", F.col("n") - F.col("p")), [F.asc("s")], "_at")
-    # negatives below each score: prefix sums in blocks of positions
-    pos = pos.withColumn("_b", F.floor(F.col("_at") / 1000))
-    ahead = pos.groupBy("_b").agg(F.sum("q").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = F.coalesce(F.sum("q").over(Window.partitionBy("_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = pos.withColumn("_in", inside).join(ahead, "_b").agg(F.sum(F.col("p") * (F.col("_before") + F.col("_in") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    pos = row_positions(per.withColumn("q", F.col("n") - F.col("p")), [F.asc("s")], "_at", {"_before": F.col("q")})
+    r = pos.agg(F.sum(F.col("p") * (F.col("_before") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q")).first()
     return float(r["u"]) / (r["p"] * r["q"]) if r["p"] and r["q"] else float("nan")
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import columns as C
 from citeloom.operators import relational as R
+from citeloom.operators import text as X
 from citeloom.plans import sqlparts as S
 from citeloom.plans.cleaning import results
 from citeloom.plans.registry import Registry
+from citeloom.plans.sqlparts import lemma_tables
+from citeloom.session import checkpointed
 from citeloom.session import read_table as t
 
 query = Registry()
@@ -146,19 +149,9 @@ def agg_positive_rate(spark, d):
     return results(spark, d).agg(F.avg((F.col("pred") > 2).cast("double")).alias("positive_rate"))
 
 
-@query(
-    f"""with {S.RESULTS}, c as (select (actual > 2)::int as y, (pred > 2)::int as p from results), k as (select unnest([0, 1]) as class),
-m as (select class, count(*) filter (where y = class and p = class) as tp, count(*) filter (where p = class) as np, count(*) filter (where y = class) as support from c, k group by class)
-select class, tp / nullif(np, 0)::double as precision, tp / nullif(support, 0)::double as recall, support from m"""
-)
+@query(f"with {S.RESULTS}, c as (select (actual > 2)::int as y, (pred > 2)::int as p from results), {S.METRICS}")
 def agg_metrics(spark, d):
-    c = results(spark, d).select((F.col("actual") > 2).cast("int").alias("y"), (F.col("pred") > 2).cast("int").alias("p")).groupBy("y", "p").count()
-    per = c.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("class"), "y", "p", "count").groupBy("class").agg(
-        F.sum(F.when((F.col("y") == F.col("class")) & (F.col("p") == F.col("class")), F.col("count")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("p") == F.col("class"), F.col("count")).otherwise(0)).alias("np"),
-        F.sum(F.when(F.col("y") == F.col("class"), F.col("count")).otherwise(0)).alias("support"),
-    )
-    return per.select("class", F.try_divide(F.col("tp"), F.col("np")).alias("precision"), F.try_divide(F.col("tp"), F.col("support")).alias("recall"), "support")
+    return R.class_metrics(results(spark, d).select((F.col("actual") > 2).cast("int").alias("y"), (F.col("pred") > 2).cast("int").alias("p")))
 
 
 _Q = f"{S.RESULTS}, n as (select round_even(count(*) * 0.05, 0)::bigint as k from results), a as (select index1 from results order by actual desc, index1 limit (select k from n)), p as (select index1 from results order by pred desc, index1 limit (select k from n))"
@@ -262,11 +255,11 @@ def set_dict_merge(spark, d):
     return R.last_writer([a, b], "title")
 
 
-@query(f"with {S.TITLE_TOKENS}, v as (select distinct term from tokens) select term from v where not (term like '%s' and term[:-2] in (select term from v))")
+@query(f"with {S.TITLE_TOKENS}, {lemma_tables('tokens', 'lem')} select distinct term from tokens where term not in (select variant from lem)")
 def set_minus_synonyms(spark, d):
-    v = title_tokens(spark, d).select("term").distinct()
-    variants = v.where(F.endswith("term", F.lit("s"))).select("term", F.expr("left(term, length(term) - 1)").alias("head")).join(v.select(F.col("term").alias("head")), "head", "left_semi").select("term")
-    return v.join(variants, "term", "left_anti")
+    """The vocabulary of the titles without the variants of other words."""
+    v = checkpointed(title_tokens(spark, d).select("term").distinct())
+    return v.join(X.lemma_map(v).select(F.col("variant").alias("term")), "term", "left_anti")
 
 
 @query(f"with {_Q} select index1 from a intersect select index1 from p")

@@ -74,3 +74,18 @@ def good_token(t: str) -> str:
 
 
 TITLE_TOKENS = f"tokens as (select row_id as doc_id, t as term from (select row_id, unnest(string_split(lower(titleid), ' ')) as t from papers_raw where titleid is not null) where {good_token('t')})"
+
+
+def lemma_tables(tokens: str, name: str) -> str:
+    """Tables that end in ``name`` (variant, lemma) of the terms of a table of tokens."""
+    return f"""w_{name} as (select distinct term as w, left(term, 3) as p from {tokens} where length(term) >= 4), h_{name} as (select p, min(w) as lemma from w_{name} group by p),
+{name} as (select w as variant, lemma from w_{name} join h_{name} using (p) where w <> lemma and length(w) >= length(lemma) and
+ array_to_string(list_transform(list_filter(range(1, length(lemma) + 1), lambda i: lemma[i] <> w[i]), lambda i: w[i]), '') || substr(w, length(lemma) + 1) in ('s', 'ic', 'ics', 'ed'))"""
+
+
+#: Per class precision, recall, F1 and support, and over all the accuracy and the means; of a table c (y, p).
+METRICS = """k as (select unnest([0, 1]) as class), n as (select count(*) filter (y = p) / nullif(count(*), 0)::double as accuracy from c),
+m as (select class, count(*) filter (where y = class and p = class) as tp, count(*) filter (where p = class) as np, count(*) filter (where y = class) as support from c, k group by class),
+per as (select class, tp / nullif(np, 0)::double as precision, tp / nullif(support, 0)::double as recall, 2e0 * tp / nullif(np + support, 0) as f1, support from m),
+macro as (select avg(coalesce(precision, 0)) as macro_precision, avg(coalesce(recall, 0)) as macro_recall, avg(coalesce(f1, 0)) as macro_f1 from per)
+select class, precision, recall, f1, support, accuracy, macro_precision, macro_recall, macro_f1 from per, n, macro"""

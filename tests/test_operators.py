@@ -238,12 +238,16 @@ def test_learning(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
     df = spark.createDataFrame([(i, [float(v) for v in r], int(r[0] + 0.1 * r[1] > 0.8)) for i, r in enumerate(x)], "k int, c array<double>, y int")
-    for n in (5, 400):  # exact, and by iteration
+    for n in (5, 400):  # exact, and by iteration, from a broadcast and by joins
         m = x if n == 5 else rng.normal(size=(200, n)) * (0.9 ** np.arange(n))
-        wide = spark.createDataFrame([([i for i in range(n)], [float(v) for v in r]) for r in m], "indices array<int>, values array<double>")
-        s, v = ML.truncated_svd(wide, n, 3, passes=20)
-        assert np.allclose(s, np.linalg.svd(m, compute_uv=False)[:3], rtol=1e-6)
-        assert np.allclose(np.linalg.norm(m @ v, axis=0), s)
+        wide = spark.createDataFrame([(j, [i for i in range(n)], [float(v) for v in r]) for j, r in enumerate(m)], "row_id int, indices array<int>, values array<double>")
+        for broadcast in (10**6, 0):
+            s, v = ML.truncated_svd(wide, n, 3, broadcast=broadcast, extra=8 if n > 5 else 2)
+            assert np.allclose(s, np.linalg.svd(m, compute_uv=False)[:3], rtol=1e-5)
+            y = np.array([r.components for r in ML.project(wide, v).orderBy("row_id").collect()])
+            assert np.allclose(np.linalg.norm(y, axis=0), s, rtol=1e-5)
+            vectors = v if broadcast else v.orderBy("index").toPandas()[["v0", "v1", "v2"]].to_numpy()
+            assert np.allclose(vectors.T @ vectors, np.eye(3), atol=1e-4) and (vectors[np.abs(vectors).argmax(axis=0), range(3)] > 0).all()
     w = ML.ridge_fit(df, "c", 5, "y", 2.0)
     a = np.hstack([x, np.ones((200, 1))])
     t = np.where(np.array([r.y for r in df.orderBy("k").collect()]) == 1, 1.0, -1.0)
@@ -259,16 +263,26 @@ def test_learning(spark):
     assert counts[0] == counts[1]
 
 
-PAPER = "titleid string, authors string, journal string, publisher string, year string, pages string, vol string, issue string, author_ids string"
+PAPER = "row_id long, titleid string, authors string, journal string, publisher string, year string, pages string, vol string, issue string, author_ids string"
 
 
-def test_encoder_has_author_ids(spark):
-    """An author id of five papers is a feature, one of four is not; papers without ids are encoded all the same."""
-    df = spark.createDataFrame([(f"title {i}", None, None, None, "2015", None, None, None, ids) for i, ids in enumerate(["a b"] * 4 + ["a a", None])], PAPER)
-    model = ML.encoder().fit(p := ML.paper_arrays(df))
-    words = {s.getInputCol(): s.vocabulary for s in model.stages[:-1]}
-    assert words["author_id_tokens"] == ["a"] and words["year_tokens"] == ["2015"]
-    assert sorted(r.features.toArray().sum() for r in model.transform(p).collect()) == [4, 5, 5, 5, 5, 5]
+def test_encoder(spark):
+    """An author id of five papers is a feature, one of four is not; variants of title words are their lemma; unseen terms and papers without any are encoded all the same."""
+    data = [(i, f"magnet{'ic' if i % 2 else ''} {'x' * 3}{i}", None, None, None, "2015", "1", "1", "1", "a b" if i < 4 else "a" if i == 4 else None) for i in range(24)]
+    train = spark.createDataFrame(data, PAPER)
+    e = ML.fit_encoder(train)
+    names = {r["index"]: f"{r.field}:{r.term}" for r in e.vocabulary.collect()}
+    assert names == {0: "author_id:a", 1: "title:magnet", 2: "year:2015"} and e.size == 3
+    later = spark.createDataFrame([(100, "magnetic magnet unseen", None, None, None, "1991", "1", None, "NA", "b a a"), (101, None, None, None, None, None, "1", "1", "1", None)], PAPER)
+    got = {r.row_id: (r.indices, r["values"], r.year) for r in ML.encode(later, e, ["row_id", "year"]).collect()}
+    assert got == {100: ([0, 1], [1.0, 1.0], "1991"), 101: ([], [], None)}
+    assert ML.fit_encoder(train.limit(0)).size == 0
+
+
+def test_vocabulary_has_no_bound(spark):
+    """Every term in enough papers is kept, however many there are."""
+    df = spark.range(60_000).select(F.col("id").alias("row_id"), *[F.lit(None).cast("string").alias(c) for c in ("titleid", "journal", "publisher", "year", "author_ids")], F.concat_ws(",", *[F.concat(F.lit(f"n{i}x"), F.floor(F.col("id") / 2)) for i in range(5)]).alias("authors"), *[F.lit("1").alias(c) for c in ("pages", "vol", "issue")])
+    assert ML.fit_encoder(df).size == 150_000
 
 
 def test_papers_have_author_ids(spark, monkeypatch):
@@ -278,7 +292,35 @@ def test_papers_have_author_ids(spark, monkeypatch):
     raw = [{c: None for c in text} | {"titleid": f"the effect of the light on the cells {i}", "pubdate": "2015/3/1", "cited": "Cited by 9", "_file": "f", "row_id": i, "_pos": i} for i in range(2)]
     tables = {"papers_raw": spark.createDataFrame(raw, ", ".join([*(f"{c} string" for c in text), "row_id long", "_pos long"])), "paper_authors": spark.createDataFrame([(raw[0]["titleid"], "x y")], "titleid string, author_ids string")}
     monkeypatch.setattr(features, "t", lambda spark, d, name: tables[name])
-    assert rows(features._papers(spark, "").select("row_id", "author_id_tokens")) == [(0, ["x", "y"]), (1, [])]
+    assert rows(features._papers(spark, "").select("row_id", "author_ids", "year")) == [(0, "x y", "2015"), (1, None, "2015")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 2500])
+def test_group_concat_of_any_length(spark, n, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 100)
+    df = spark.createDataFrame([("k", f"{i * 7919 % n:05}") for i in range(n)] + [("other", "b"), ("other", "a"), ("other", "a")], "k string, v string").repartition(5)
+    got = {r.k: r.v for r in R.group_concat(df, "k", "v", ["v"]).collect()}
+    assert got == ({"k": " ".join(f"{i:05}" for i in range(n))} if n else {}) | {"other": "a a b"}
+
+
+@pytest.mark.parametrize("kind", ["different", "ties", "nulls", "few"])
+def test_top_quantile(spark, kind):
+    rnd = random.Random(9)
+    n = 3 if kind == "few" else 4000
+    data = [(i, {"ties": float(i % 3), "nulls": None if i % 2 else rnd.random()}.get(kind, rnd.random())) for i in range(n)]
+    df = spark.createDataFrame(data, "k int, v double").repartition(6)
+    for q in (0.0, 0.05, 0.3, 1.0):
+        want = sorted(data, key=lambda r: (-(r[1] if r[1] is not None else -9), r[0]))[: round(n * q)]
+        assert rows(R.top_quantile(df, "v", "k", q).select("k")) == sorted([(r[0],) for r in want], key=repr)
+
+
+def test_class_metrics(spark):
+    df = spark.createDataFrame([(1, 1)] * 3 + [(1, 0)] + [(0, 0)] * 5 + [(0, 1)], "y int, p int")
+    r = {x["class"]: x for x in R.class_metrics(df).collect()}
+    assert (r[1].precision, r[1].recall, r[1].f1, r[1].support, r[1].accuracy) == (0.75, 0.75, 0.75, 4, 0.8)
+    assert abs(r[0].macro_f1 - (0.75 + 5 / 6) / 2) < 1e-12 and r[0].macro_f1 == r[1].macro_f1
+    one = {x["class"]: x for x in R.class_metrics(df.where("y = 0 and p = 0")).collect()}
+    assert one[1].precision is None and one[1].recall is None and one[0].accuracy == 1.0 and one[0].macro_recall == 0.5
 
 
 def test_boosting_stops_early(spark):
