@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import columns as C
+from citeloom.operators.relational import group_positions
 from citeloom.session import checkpointed
 
-MAX_LEVELS = 1000
+#: The levels found so far are put together whenever there are so many tables of them.
+FOLD = 16
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Citing papers of each cited one; lists of the distinct ids, in order."""
-    return edges.groupBy("cited_id").agg(F.array_sort(F.collect_set("citing_id")).alias("citing"))
+    """(cited_id, position, citing_id): the distinct citing papers of each cited one in order, in long form, as one may have any number."""
+    e = edges.where("cited_id is not null and citing_id is not null").select("cited_id", "citing_id").distinct()
+    return group_positions(e, "cited_id", ["citing_id"])
 
 
 def expandable(nodes: DataFrame, more_than: int = 2) -> DataFrame:
@@ -29,9 +34,11 @@ def bfs_levels(edges: DataFrame, start: DataFrame, may_expand: DataFrame | None
     Equals first-in-first-out order up to ties.
     """
     links = checkpointed(edges.where("cited_id is not null and citing_id is not null").select("cited_id", "citing_id").distinct())
-    visited = checkpointed(start.select("id").distinct().withColumn("level", F.lit(0)))
-    frontier = visited.select("id")
-    for level in range(1, MAX_LEVELS + 1):
+    levels = [checkpointed(start.select("id").distinct().withColumn("level", F.lit(0)))]
+    frontier, level = levels[0].select("id"), 0
+    while True:
+        level += 1
+        visited = reduce(DataFrame.unionByName, levels)
         if may_expand is not None and level > 1:
             frontier = frontier.join(may_expand, "id", "left_semi")
         reached = frontier.join(links, F.col("id") == F.col("cited_id")).select("cited_id", "citing_id")
@@ -47,9 +54,11 @@ def bfs_levels(edges: DataFrame, start: DataFrame, may_expand: DataFrame | None
         new = checkpointed(new)
         if new.isEmpty():
             return visited
-        visited = checkpointed(visited.unionByName(new.select("id", F.lit(level).alias("level"))))
+        # each level is written once, and read again as it is
+        levels.append(new.select("id", F.lit(level).alias("level")))
+        if len(levels) == FOLD:
+            levels = [checkpointed(reduce(DataFrame.unionByName, levels))]
         frontier = new.where("go").select("id")
-    raise RuntimeError("more levels than allowed")
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

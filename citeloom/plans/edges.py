@@ -7,8 +7,10 @@ from pyspark.sql import types as T
 
 from citeloom.functions import columns as C
 from citeloom.operators import relational as R
+from citeloom.operators.learning import encode, fit_encoder
 from citeloom.operators.state import latest_state, status_code
 from citeloom.plans import sqlparts as S
+from citeloom.plans.features import FEATURES
 from citeloom.plans.registry import Registry
 from citeloom.session import bounded_rows
 from citeloom.session import read_table as t
@@ -203,12 +205,16 @@ def snk_db_update(spark, d):
     return last.select("id", status_code(F.col("status")).alias("state"))
 
 
-@query("select 0::bigint as n")
+@query("select t.name, c.place::int as place, c.name as column_name, 0::bigint as n from (values ('papers', 2), ('authors', 3), ('firstauthors', 3), ('authorpapers', 2), ('solarauthors', 3)) t(name, n), (values (0, 'id'), (1, 'value'), (2, 'scrapped')) c(place, name) where c.place < t.n")
 def snk_ddl(spark, d):
-    path = K.shared_path(spark, "table")
-    name = "t_" + path.rsplit("-", 1)[1]
-    K.create_table(spark, name, "id STRING, value STRING, scrapped STRING", path)
-    return spark.table(name).agg(F.count("*").alias("n"))
+    """The tables of the crawlers, created twice; their columns, and that they are empty."""
+    path = K.shared_path(spark, "tables")
+    prefix = "t_" + path.rsplit("-", 1)[1] + "_"
+    for _ in range(2):
+        names = K.create_tables(spark, path, prefix)
+    rows = [(n[len(prefix) :].lower(), i, c, n) for n in names for i, c in enumerate(spark.table(n).columns)]
+    counts = {n: spark.table(n).count() for n in names}
+    return spark.createDataFrame([(name, i, c, counts[n]) for name, i, c, n in rows], "name string, place int, column_name string, n long")
 
 
 @query("select * from region")
@@ -232,13 +238,18 @@ def snk_html_pages(spark, d):
     return spark.read.parquet(path).select("event_id", F.length("html").cast("long").alias("n"))
 
 
-@query("select row_id, (length(lower(titleid)) > 0)::int as nnz from papers_raw where titleid is not null")
+@query(
+    f"""with {FEATURES}, m as (select doc_id, field || ':' || term as name from feats join vocab using (field, term))
+select p.row_id, ({S.cited_number('cited')} > 10)::int as label, count(name) as nnz, min(name) as first_name, max(name) as last_name from papers_raw p left join m on doc_id = row_id group by 1, 2"""
+)
 def snk_sparse_npz(spark, d):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    p = t(spark, d, "papers_raw").where("titleid is not null").select("row_id", F.lit(0.0).alias("a"), (F.length("titleid") > 0).cast("double").alias("b"), F.lit(0.0).alias("c"))
-    path = K.shared_path(spark, "vectors")
-    VectorAssembler(inputCols=["a", "b", "c"], outputCol="v").transform(p).select("row_id", "v").write.parquet(path)
-    back = spark.read.parquet(path)
-    return back.select("row_id", F.size(F.filter(vector_to_array("v"), lambda x: x != 0)).alias("nnz"))
+    """The encoded papers as a sparse matrix with ids, labels and names of the columns, written and read back."""
+    p = t(spark, d, "papers_raw").join(t(spark, d, "paper_authors").select("titleid", "author_ids"), "titleid", "left")
+    p = p.withColumns({"year": C.year_text(C.unmarked(F.col("pubdate"))), "label": C.to_class(C.cited_number(F.col("cited")))})
+    encoder = fit_encoder(p)
+    path = K.shared_path(spark, "matrix")
+    K.write_sparse(encode(p, encoder, ["row_id", "label"]), encoder.vocabulary, path)
+    rows, names = K.read_sparse(spark, path)
+    long = rows.select("row_id", F.explode("indices").alias("index")).join(names, "index")
+    per = long.groupBy("row_id").agg(F.count("*").alias("nnz"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+    return rows.select("row_id", "label").join(per, "row_id", "left").withColumn("nnz", F.coalesce("nnz", F.lit(0).cast("long")))

@@ -46,7 +46,21 @@ def gr_leaf_prune(spark, d):
     return G.bfs_levels(t(spark, d, "edges"), _start(spark, d), G.expandable(t(spark, d, "graph_papers")))
 
 
-@query()
+def _unrolled(levels: int, limit: float) -> str:
+    """The walk with pruning, one set of tables a level."""
+    parts = [f"with {_E}", "n0 as (select id, true as go, 0 as level from s)"]
+    for k in range(1, levels + 1):
+        seen = " union all ".join(f"select id from n{j}" for j in range(k))
+        parts += [
+            f"r{k} as materialized (select e.cited_id, e.citing_id, e.citing_id in ({seen}) as old from e join n{k - 1} on id = cited_id where go)",
+            f"f{k} as materialized (select citing_id, min(cited_id) as parent from r{k} where not old group by 1)",
+            f"p{k} as (select cited_id, count(*) as n, (select count(*) from f{k} where parent = cited_id) as fresh from r{k} group by 1)",
+            f"n{k} as materialized (select citing_id as id, coalesce((n - fresh)::double / n < {limit}, false) as go, {k} as level from f{k} left join p{k} on cited_id = parent)",
+        ]
+    return ", ".join(parts) + " " + " union all ".join(f"select id, level from n{k}" for k in range(levels + 1))
+
+
+@query(_unrolled(_DEPTH, 0.9))
 def gr_revisit_prune(spark, d):
     return G.bfs_levels(t(spark, d, "edges"), _start(spark, d), None, 0.9)
 
@@ -58,7 +72,7 @@ def gr_visited(spark, d):
     return t(spark, d, "graph_papers").select("id").join(seen, "id", "left_anti")
 
 
-@query("select cited_id, list_sort(list_distinct(list(citing_id))) as citing from edges group by cited_id")
+@query("select cited_id, row_number() over (partition by cited_id order by citing_id) - 1 as position, citing_id from (select distinct cited_id, citing_id from edges where cited_id is not null and citing_id is not null)")
 def gr_adjacency(spark, d):
     return G.adjacency(t(spark, d, "edges"))
 
@@ -177,7 +191,7 @@ select user_id, max(n)::bigint as length from (select user_id, g, sum(e) as n fr
 def stream_error_streaks(spark, d):
     path = f"{d}/events.parquet"
     s = I.file_stream(spark, path, spark.read.parquet(path).schema).select("user_id", "event_id", (F.col("event_type") == "error").alias("bad"))
-    return I.run_once(I.longest_streaks(s, "user_id", "event_id", "bad"), spark, "streaks").groupBy("user_id").agg(F.max("length").alias("length"))
+    return I.longest_streaks(s, "user_id", "event_id", "bad")
 
 
 @query()

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.session import shared_folder
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "citeloom-out")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the folder that the cluster shares."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -32,5 +31,25 @@ def insert_absent(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return stored.unionByName(once.join(stored.select(key), key, "left_anti"))
 
 
-def create_table(spark: SparkSession, name: str, columns: str, path: str) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{path}'")
+# The tables of the crawlers and their columns.
+_WORK = "id STRING NOT NULL, value STRING, scrapped STRING"
+_STORE = "id STRING NOT NULL, value STRING"
+TABLES = {"papers": _STORE, "authors": _WORK, "firstauthors": _WORK, "authorpapers": _STORE, "solarAuthors": _WORK}
+
+
+def create_tables(spark: SparkSession, path: str, prefix: str = "", tables: dict[str, str] = TABLES) -> list[str]:
+    """Creates what is absent of the tables, each in its own folder below the path; their names."""
+    for name, columns in tables.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({columns}) USING parquet LOCATION '{path}/{name}'")
+    return [prefix + name for name in tables]
+
+
+def write_sparse(rows: DataFrame, vocabulary: DataFrame, path: str) -> None:
+    """A sparse matrix in two tables: rows with id, label and the places and values that are set, and the name of each column."""
+    rows.write.mode("errorifexists").parquet(f"{path}/rows")
+    vocabulary.select("index", F.concat_ws(":", "field", "term").alias("name")).write.mode("errorifexists").parquet(f"{path}/names")
+
+
+def read_sparse(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, names) of a sparse matrix."""
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/names")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from citeloom.operators.state import counters, streak
 from citeloom.sinks.files import shared_path
 
 
@@ -48,20 +45,36 @@ def run_once(df: DataFrame, spark: SparkSession, name: str, mode: str = "append"
 
 
 def longest_streaks(stream: DataFrame, key: str, order: str, flag: str) -> DataFrame:
-    """(key, length): the longest run of flagged rows of each key, as state that outlives micro-batches.
+    """(key, length): the longest run of flagged rows of each key, with state that outlives micro-batches.
 
-    Rows of a batch are sorted by the order column; rows of a later batch are taken to come later, as a queue delivers them.
-    The state of a key is two counts, however many rows it has.
+    The rows of a batch are taken in the order of a numeric column, those of a later batch come later, as a queue delivers them.
+    The state is a table of two counts a key, a new version a batch, so a batch that is run again gives the same; counters of
+    chunks are carried over, so no key is ever sorted in one task.
     """
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, best = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        for f in rows[flag]:
-            run = run + 1 if f else 0
-            best = max(best, run)
-        state.update((int(run), int(best)))
-        yield pd.DataFrame({key: [k[0]], "length": [int(best)]})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {key_type}, length long", "run long, best long", "append", GroupStateTimeout.NoTimeout)
+    spark = stream.sparkSession
+    out, state = shared_path(spark, "streaks"), {"path": None}
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = counters(batch.select(key, order, flag).withColumn("_chunk", F.lit(0)), key, "_chunk", order, {"run": streak(F.col(flag)), "place": (F.lit(1), None)})
+        # a run that began before the batch is still whole where it is as long as the batch has rows so far
+        whole = F.max(F.when(F.col("run") == F.col("place"), F.col("run")).otherwise(0))
+        now = rows.groupBy(key).agg(whole.alias("lead"), F.max("run").alias("inside"), F.max_by("run", order).alias("tail"), F.count("*").alias("n"))
+        if state["path"]:
+            before = spark.read.parquet(state["path"])
+        else:
+            before = spark.createDataFrame([], batch.select(key).schema).withColumns({"run": F.lit(0).cast("long"), "length": F.lit(0).cast("long")})
+        run, best = F.coalesce("run", F.lit(0)), F.coalesce("length", F.lit(0))
+        both = now.join(before, key, "full")
+        after = both.select(
+            key,
+            F.when(F.col("n").isNull(), run).when(F.col("lead") == F.col("n"), run + F.col("n")).otherwise(F.col("tail")).alias("run"),
+            F.greatest(best, F.coalesce("inside", F.lit(0)), F.coalesce(F.when(F.col("lead") > 0, run + F.col("lead")), F.lit(0))).alias("length"),
+        )
+        path = f"{out}/{batch_id}"
+        after.write.mode("overwrite").parquet(path)
+        state["path"] = path
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", shared_path(spark, "streaks-state")).trigger(availableNow=True).start().awaitTermination()
+    if not state["path"]:
+        return spark.createDataFrame([], stream.select(key).schema).withColumn("length", F.lit(0).cast("long"))
+    return spark.read.parquet(state["path"]).select(key, "length")
