@@ -3,7 +3,7 @@
 Typing errors: surnames, given names, names of groups and unlisted journals are cut into k + 1 segments; the segments go into an
 inverted index keyed by scope, length, place and text, and the substrings of every other name that a segment may have shifted
 to are looked up in it. Candidates are verified by edit distance within a band. One error may be a transposition, which
-touches two segments, so k is 2 and three segments are cut. Exact copies of a word are one entry of the index.
+touches two segments, so k is 2 and three segments are cut. Exact copies of a word are one word of the index.
 
 The scope of surnames is the profile; that of surnames too short to tell an error from another name also has the given names,
 which must be equal then; that of given names is the surname, its first letter and the profile. A surname one error away means
@@ -199,14 +199,24 @@ def people(forms: list[tuple[str, int]], near: Near) -> list[int]:
 
 
 def segment_join(words: DataFrame, scope: list[str], word: str = "word") -> DataFrame:
-    """(scope, a, b): pairs of different words of one scope that are one typing error apart, each once, a < b."""
-    t = words.select(*scope, F.col(word).alias("_w")).where(F.length("_w") > 0).distinct().withColumn("_len", F.length("_w"))
-    cut = lambda n, i: F.floor(n * i / SEGMENTS).cast("int")
-    segment = lambda n, i, shift=0: F.xxhash64(*scope, n, F.lit(i), F.substring(F.col("_w"), cut(n, i) + 1 + shift, cut(n, i + 1) - cut(n, i)))
-    index = t.select(*scope, F.col("_w").alias("b"), F.explode(F.array_distinct(F.array(*[segment(F.col("_len"), i) for i in range(SEGMENTS)]))).alias("_k"))
-    probes = [segment(F.col("_len") - less, i, shift) for less in (0, 1) for i in range(SEGMENTS) for shift in {0, less}]
-    probe = t.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("_w").alias("a"), F.explode(F.array_distinct(F.array(*probes))).alias("_k"))
-    near = probe.join(index, "_k").where(F.col("a") != F.col("b"))
+    """(scope, a, b): pairs of different words of one scope that are one typing error apart, each once, a < b.
+
+    The middle one of the three segments is a single letter: it keeps the outer two apart, so that a transposition, like any
+    other error, leaves one of these as it is, and they are as long as can be. A word has two entries in the index; it looks up
+    two for its own length and two for words that are one letter shorter: their first segment at its place, their last one
+    shifted by the letter that is too many.
+    """
+    t = words.select(*scope, F.col(word).alias("_w")).where(F.length("_w") > 0).distinct()
+    # a scope of one word has no pairs; counted before the words are cut
+    several = t.groupBy(*scope).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    t = t.join(several, scope, "left_semi").withColumn("_len", F.length("_w"))
+    head = lambda n: F.floor((n - 1) / 2).cast("int")
+    first = lambda n: F.xxhash64(*scope, n, F.lit(0), F.substring(F.col("_w"), F.lit(1), head(n)))
+    last = lambda n, shift=0: F.xxhash64(*scope, n, F.lit(2), F.substring(F.col("_w"), head(n) + 2 + shift, n))
+    own, less = F.col("_len"), F.col("_len") - 1
+    index = t.select(*scope, F.col("_w").alias("b"), F.explode(F.array(first(own), last(own))).alias("_k"))
+    probe = t.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("_w").alias("a"), F.explode(F.array(first(own), last(own), first(less), last(less, 1))).alias("_k"))
+    near = probe.join(index, "_k").where((F.length("a") > F.length("b")) | (F.col("a") < F.col("b")))
     for c in scope:  # hashes may collide
         near = near.where(F.col(c) == F.col(f"_{c}"))
     d = F.levenshtein("a", "b", 2)
@@ -369,7 +379,7 @@ def person_classes(rows: DataFrame, profile: str, authors: str) -> DataFrame:
     told = told.groupBy("p", "token", "nick").agg(F.min("f").alias("f"), F.max("f").alias("g")).where("f = g and f <> nick").drop("g")
     forms = forms.withColumn("head", head).drop("nick").join(told.withColumnRenamed("nick", "head"), ["p", "token", "head"], "left")
     given = F.when(F.col("f").isNotNull(), F.concat("f", F.substr("given", F.length("head") + 1))).otherwise(F.col("given"))
-    forms = checkpointed(forms.select("p", "name", "n", "token", given.alias("given")))
+    forms = forms.select("p", "name", "n", "token", given.alias("given"))
 
     canon = _roots(surname_links(forms), "token")
     keyed = forms.join(canon, ["p", "token"], "left").select("p", F.coalesce("canon", "token").alias("s"), _letter("given").alias("i"), "name", "given", "n")
