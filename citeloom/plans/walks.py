@@ -194,8 +194,13 @@ def stream_error_streaks(spark, d):
     return I.longest_streaks(s, "user_id", "event_id", "bad")
 
 
-@query()
+@query(
+    """select date_trunc('day', ts)::date as day, event_type, count(*) as n from events group by 1, 2
+ having date_trunc('day', min(ts)) + interval 1 day <= (select max(ts) - interval 1 hour from events)"""
+)
 def stream_window_counts(spark, d):
+    """Counts of the days that the watermark has closed."""
     path = f"{d}/events.parquet"
     s = I.file_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    return I.run_once(I.windowed_counts(s, "ts", "event_type", "1 day", "1 hour"), spark, "windows")
+    counts = I.run_once(I.windowed_counts(s, "ts", "event_type", "1 day", "1 hour"), spark, "windows")
+    return counts.select(F.to_date("start").alias("day"), "event_type", "n")
