@@ -6,6 +6,12 @@ total as (select count(titleid) as n from papers_raw)
 """
 _MARK = "case when records < 20 then 'rare' when records > 0.1 * (select n from total) then 'common' end"
 
+#: Rounds in which the least class goes from layouts to letters and back; chains of titles are shorter.
+_ROUNDS = 8
+_SPREAD = ", ".join(
+    f"a{k} as (select m, min({'l' if k == 1 else 'c'}) as c from {'n' if k == 1 else f'n join b{k - 1} using (l)'} group by m), b{k} as (select l, min(c) as c from n join a{k} using (m) group by l)" for k in range(1, _ROUNDS + 1)
+)
+
 ORACLE = {
     "p1_found": rf"""with {_TERMS},
 c as (select term, count(distinct row_id) as records from words group by term)
@@ -18,10 +24,8 @@ select kind, term, occurrences, records, {_MARK} as mark from c""",
  list_sort(list_filter(list_transform(regexp_split_to_array(lower(titleid), '[|•;/]+'), lambda p: regexp_replace(p, '[^\p{L}\p{N}]+', '', 'g')), lambda p: p <> '')) as m
  from papers_raw where titleid is not null),
 n as (select distinct l, m from r),
-a1 as (select m, min(l) as c from n group by m), b1 as (select l, min(c) as c from n join a1 using (m) group by l),
-a2 as (select m, min(c) as c from n join b1 using (l) group by m), b2 as (select l, min(c) as c from n join a2 using (m) group by l),
-a3 as (select m, min(c) as c from n join b2 using (l) group by m), b3 as (select l, min(c) as c from n join a3 using (m) group by l),
-k as (select row_id, min(row_id) over (partition by c) as row_id_a from r join b3 using (l))
+""" + _SPREAD + rf""",
+k as (select row_id, min(row_id) over (partition by c) as row_id_a from r join b{_ROUNDS} using (l))
 select row_id_a, row_id as row_id_b from k where row_id <> row_id_a""",
 }
 ORACLE["p5_classes"] = ORACLE["p5_found"].rsplit("select row_id_a,", 1)[0] + "select row_id_a as row_id, count(*) as copies from k group by row_id_a"

@@ -277,6 +277,27 @@ def test_format_duplicates(spark):
     assert D.duplicate_rows(df.limit(0), "t", "rec").count() == 0
 
 
+def test_colliding_fingerprints(spark, monkeypatch):
+    """Layouts whose hashes are all the same are still told apart by their parts."""
+    data = [(1, "a | b"), (2, "b | A"), (3, "c | d"), (4, "d; c"), (5, "a | b | b"), (6, "a | a | b"), (7, "B|a."), (8, "x")]
+    df = spark.createDataFrame(data, "rec long, t string")
+    monkeypatch.setattr(D, "fingerprint", lambda field, parts: F.struct(F.lit(1).alias("x"), F.lit(2).alias("y")))
+    assert rows(D.duplicate_rows(df, "t", "rec")) == [(1, 2), (1, 7), (3, 4)]
+
+
+def test_long_chains_of_layouts(spark):
+    """Classes that hold together only through many steps from letters to parts and back."""
+    data, at = [], 0
+    words = [f"w{i:02}x" for i in range(12)]
+    for i in range(11):  # parts in another order, then the same letters cut elsewhere
+        data += [(at, f"{words[i]} | {words[i + 1]} | q{i}"), (at + 1, f"q{i} | {words[i]} | {words[i + 1]}")]
+        at += 2
+    chain = [(100, "ab | cd"), (101, "cd | ab"), (102, "c | dab"), (103, "dab | c"), (104, "d | abc"), (105, "abc | d"), (106, "ab | c | d"), (107, "d | c | ab"), (108, "dc | ab")]
+    df = spark.createDataFrame(data + chain, "rec long, t string")
+    want = [sorted(c) for c in classes_brute(data + chain)]
+    assert rows(D.duplicate_rows(df, "t", "rec")) == sorted([(c[0], x) for c in want for x in c[1:]], key=repr)
+
+
 # --- packing
 
 
