@@ -23,16 +23,15 @@ from citeloom.operators.skew import join_class
 from citeloom.session import checkpointed
 
 #: What sets the parts of a title off from each other.
-PART_BREAK = r"[|•;/]+"
-OTHER = r"[^\p{L}\p{N}]+"
+PART_BREAKS = "|•;/"
 #: Between the parts of a layout; no letter or digit.
 SEAM = "|"
 
 
 def layout_of(value: Column) -> Column:
     """Normalised parts in their order, empty ones left out, in one text."""
-    marked = F.regexp_replace(F.lower(value), PART_BREAK, SEAM)
-    return F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{N}|]+", ""), r"^\|+|\|+$|(?<=\|)\|+", "")
+    marked = F.translate(F.regexp_replace(F.lower(value), rf"[^\p{{L}}\p{{N}}{PART_BREAKS}]+", ""), PART_BREAKS, SEAM * len(PART_BREAKS))
+    return F.btrim(F.regexp_replace(marked, r"\|{2,}", SEAM), F.lit(SEAM))
 
 
 def parts_of(layout: Column) -> Column:
