@@ -135,6 +135,12 @@ def relative_residual(pred: Column, actual: Column) -> Column:
     return F.try_divide(pred - actual, F.least(pred, actual) + 1.0)
 
 
+def gradient(pred: Column, actual: Column) -> Column:
+    """First derivative of the boosting objective, -sqrt(pred / actual - 1) / actual; NULL below the actual value and where that is 0. The second one is 1."""
+    ratio = F.try_divide(pred, actual) - 1
+    return F.when(ratio >= 0, F.try_divide(-F.sqrt(ratio), actual))
+
+
 def rank_bucket(c: Column) -> Column:
     return F.when(c > 100, 1).when(c > 25, 2).when(c > 15, 3).when(c > 4, 4).otherwise(5)
 

@@ -81,14 +81,15 @@ def _settled(s: np.ndarray, last: np.ndarray | None) -> bool:
 def truncated_svd(df: DataFrame, n: int, k: int, passes: int = PASSES, extra: int = 8, seed: int = 7, broadcast: int = BROADCAST_FEATURES) -> tuple[np.ndarray, np.ndarray | DataFrame]:
     """Singular values and right vectors of rows (indices, values), uncentred; each vector's largest entry is positive.
 
-    Subspace iteration until the singular values settle; exact at once for n up to 256. The vectors are an array (n x k), or with
-    more than ``broadcast`` features a table (index, v0, v1, ...).
+    A block Krylov space grows until the singular values settle; exact at once for n up to 256. The vectors are an array (n x k),
+    or with more than ``broadcast`` features a table (index, v0, v1, ...), found by iterating one block.
     """
     if n > broadcast:
         return _joined_svd(df, k, passes, extra, seed)
     exact = n <= 256
     q = np.eye(n) if exact else np.linalg.qr(np.random.default_rng(seed).normal(size=(n, k + extra)))[0]
     s = last = u = None
+    basis, images = np.zeros((n, 0)), np.zeros((n, 0))
     for _ in range(1 if exact else passes):
         shared, width = df.sparkSession.sparkContext.broadcast(q), q.shape[1]
 
@@ -106,11 +107,18 @@ def truncated_svd(df: DataFrame, n: int, k: int, passes: int = PASSES, extra: in
         z = np.zeros((n, width))
         got = parts.groupBy("f").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
         z[got["f"].to_numpy()] = got[names].to_numpy()
-        before, (s, u) = q, _top(q.T @ z, k)
+        basis, images = np.hstack([basis, q]), np.hstack([images, z])
+        s, u = _top(basis.T @ images, k)
         if exact or _settled(s, last):
             break
-        last, q = s, np.linalg.qr(z)[0]
-    v = before @ u
+        last = s
+        for _ in range(2):  # once more for what rounding leaves
+            z = z - basis @ (basis.T @ z)
+        q, r = np.linalg.qr(z)
+        q = q[:, np.abs(np.diag(r)) > 1e-10 * max(float(s[0]) ** 2, 1e-300)]  # directions that are not in the space yet
+        if not q.shape[1]:
+            break
+    v = basis @ u
     return s, v * np.where(v[np.abs(v).argmax(axis=0), range(v.shape[1])] < 0, -1, 1)
 
 

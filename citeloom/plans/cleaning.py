@@ -271,6 +271,12 @@ def fn_relative_res(spark, d):
     return results(spark, d).select("index1", C.relative_residual(F.col("pred"), F.col("actual")).alias("relative_res"))
 
 
+@query(f"with {S.RESULTS} select index1, case when actual <> 0 and pred >= actual then -sqrt(pred / actual - 1) / actual end as gradient, 1e0 as hessian from results")
+def ml_custom_obj(spark, d):
+    """Derivatives of the boosting objective for each prediction."""
+    return results(spark, d).select("index1", C.gradient(F.col("pred"), F.col("actual")).alias("gradient"), F.lit(1.0).alias("hessian"))
+
+
 @query(f"with {S.RESULTS} select index1, case when actual > 100 then 1 when actual > 25 then 2 when actual > 15 then 3 when actual > 4 then 4 else 5 end as rank from results")
 def fn_rank_bucket(spark, d):
     return results(spark, d).select("index1", C.rank_bucket(F.col("actual")).alias("rank"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import columns as C
@@ -144,6 +147,16 @@ def agg_min_df(spark, d):
     return R.doc_frequency(title_tokens(spark, d), "doc_id", "term", 20)
 
 
+_COUNTED = ("papers_raw", "author_info", "paper_authors", "graph_papers", "edges", "status_events")
+
+
+@query(" union all ".join(f"select '{x}' as name, count(*) as n from {x}" for x in _COUNTED))
+def agg_unused_count(spark, d):
+    """Number of rows of each table."""
+    counts = [t(spark, d, x).agg(F.count("*").alias("n")).select(F.lit(x).alias("name"), "n") for x in _COUNTED]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(f"with {S.RESULTS} select avg((pred > 2)::int) as positive_rate from results")
 def agg_positive_rate(spark, d):
     return results(spark, d).agg(F.avg((F.col("pred") > 2).cast("double")).alias("positive_rate"))

@@ -178,6 +178,22 @@ def st_error_budget(spark, d):
     return s.where(hit).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
 
 
+@query(
+    """with f as (select user_id, event_id, event_type = 'error' as bad, event_type = 'view' as empty from events),
+g as (select *, count(*) filter (not bad) over w as a, count(*) filter (not bad and not empty) over w as b from f window w as (partition by user_id order by event_id rows unbounded preceding)),
+r as (select *, sum(bad::int) over (partition by user_id, a order by event_id rows unbounded preceding) as errors, sum((empty and not bad)::int) over (partition by user_id, b order by event_id rows unbounded preceding) as idle from g)
+select event_id, errors::bigint as errors, idle::bigint as idle, case when errors > 3 or idle > 5 then 'stop' when errors > 1 then 'skip' else 'go on' end as step from r"""
+)
+def st_page_budget(spark, d):
+    """What is done after each page of a paper: errors in a row above 1 skip the page and above 3 end the paper, as do more than 5 pages in a
+    row without a yield, whatever errors lie between."""
+    e = t(spark, d, "events").select("user_id", "event_id", F.to_date("ts").alias("day"), (F.col("event_type") == "error").alias("bad"), (F.col("event_type") == "view").alias("empty"))
+    idle = (F.col("empty") & ~F.col("bad")).cast("int"), F.when(~F.col("empty") & ~F.col("bad"), 0)
+    s = Z.counters(e, "user_id", "day", "event_id", {"errors": Z.streak(F.col("bad")), "idle": idle})
+    step = F.when((F.col("errors") > 3) | (F.col("idle") > 5), "stop").when(F.col("errors") > 1, "skip").otherwise("go on")
+    return s.select("event_id", "errors", "idle", step.alias("step"))
+
+
 @query(f"with {_LATEST} select id, {_CODE} as state, ts from latest")
 def st_work_queue(spark, d):
     last = Z.latest_state(t(spark, d, "status_events"), "id", "status", "ts", "loaded_at")

@@ -52,6 +52,11 @@ def test_small_ones(spark):
     assert r[0][0] == 20 / 21 and r[1][0] is None
 
 
+def test_gradient(spark):
+    rows = spark.createDataFrame([(5.0, 1.0), (1.0, 1.0), (1.0, 2.0), (1.0, 0.0), (None, 1.0)], "p double, a double").coalesce(1).select(C.gradient(F.col("p"), F.col("a"))).collect()
+    assert [r[0] for r in rows] == [-2.0, 0.0, None, None, None]
+
+
 TEXTS = [
     ("Growth of films on glass", "en"), ("Über dünne Schichten aus Glas für feuchte Luft", "de"), ("Le rôle de X dans les pérovskites", "fr"), ("Celdas solares de X para aire", "es"), (None, None), ("", "en"),
     ("2D contacts: A REVIEW", "en"), ("DIE ROLLE VON X IN ZELLEN", "de"), ("crecimiento y estabilidad", "es"), ("Η τιμή β είναι υψηλή", "el"), ("β-phase foils", "en"), ("Плёнка растёт", "ru"), ("様子を調べた", "ja"),
