@@ -9,6 +9,8 @@ Defined results: NULL gives NULL; text without any letter is English.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,24 +47,34 @@ def _spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("\u00ad"), F.lit("")), r"[^\p{L}\p{M}\p{N}¿¡]+", " ")), F.lit(" "))
 
 
-def language(text: Column) -> Column:
-    """ISO code of the language of a text."""
-    spaced = _spaced(text)
-    words = F.array_distinct(F.split(F.trim(spaced), " "))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is used several times and worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _place_of_most(counts: Column) -> Column:
+    """1-based place of the greatest number, the first among equals."""
+    return F.array_position(counts, F.array_max(counts)).cast("int")
+
 
-    def score(k: str) -> Column:
-        known = F.array(*[F.lit(w) for w in dict.fromkeys(FUNCTION_WORDS[k].split())])
-        return 2 * F.size(F.array_intersect(words, known)) + F.regexp_count(spaced, F.lit(PROFILE[k]))
+def _latin(text: Column) -> Column:
+    known = {k: F.array(*[F.lit(w) for w in dict.fromkeys(ws.split())]) for k, ws in FUNCTION_WORDS.items()}
 
-    scores = F.array(*[score(k) for k in FUNCTION_WORDS])
-    latin = F.element_at(F.array(*[F.lit(k) for k in FUNCTION_WORDS]), F.array_position(scores, F.array_max(scores)).cast("int"))
-    # the script with most letters; a Latin text often has single Greek letters
+    def scores(spaced: Column) -> Column:
+        return _let(F.array_distinct(F.split(F.trim(spaced), " ")), lambda words: F.array(*[2 * F.size(F.array_intersect(words, known[k])) + F.regexp_count(spaced, F.lit(PROFILE[k])) for k in FUNCTION_WORDS]))
+
+    names = F.array(*[F.lit(k) for k in FUNCTION_WORDS])
+    return F.element_at(names, _let(_let(_spaced(text), scores), _place_of_most))
+
+
+def language(text: Column) -> Column:
+    """ISO code of the language of a text."""
+    # letters of each script, Latin first; those of Japanese and Chinese together. A Latin text often has single Greek letters.
+    own = [k for k in SCRIPTS if k not in ("ja", "zh")]
     count = lambda p: F.regexp_count(text, F.lit(p))
-    letters = {k: count(p) for k, p in SCRIPTS.items() if k not in ("ja", "zh")}
-    cjk = count(SCRIPTS["ja"]) + count(SCRIPTS["zh"])
-    best = F.greatest(*letters.values(), cjk)
-    # where no other script is the commonest, it is Japanese or Chinese
-    rest = F.when(count(SCRIPTS["ja"]) > 0, "ja").otherwise("zh")
-    other = F.coalesce(*[F.when(n == best, k) for k, n in letters.items()], rest)
+    counts = F.array(count(LATIN), *[count(SCRIPTS[k]) for k in own], count(SCRIPTS["ja"]) + count(SCRIPTS["zh"]))
+    found = F.element_at(F.array(*[F.lit(k) for k in ("", *own, "zh")]), _let(counts, _place_of_most))
     # plain ASCII, most titles, needs no count of scripts
-    return F.when(text.isNotNull(), F.when(text.rlike(r"^[\x00-\x7f]*$") | (count(LATIN) >= best), latin).otherwise(other))
+    script = F.when(text.rlike(r"^[\x00-\x7f]*$"), "").otherwise(found)
+    decide = lambda s: F.when(s == "", _latin(text)).when((s == "zh") & (count(SCRIPTS["ja"]) > 0), "ja").otherwise(s)
+    return F.when(text.isNotNull(), _let(script, decide))
