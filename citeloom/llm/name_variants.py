@@ -12,9 +12,9 @@ connected components, however long the chain.
 
 What people do on purpose (initials, order, titles, accents, capitals, abbreviated words, acronyms) is read from the parsed name:
 spellings of one surname and first letter are put together where exactly one person fits. Nicknames are a table of common short
-forms, and those that a profile itself explains, as in Charles "Chaz" Gray.
+forms, and those that a profile itself explains, as in Guillermo "Memo" Gray.
 
-Journals are matched word by word with a list of usual spellings through the same segment index; unlisted ones by letters.
+Journals are matched word by word with a list of usual spellings, errors through the same segment index; unlisted ones by letters.
 
 Defined results: NULL profiles, names and markers are no cases; repeated names count once; an initial that fits several people
 of a profile is linked with none of them, only with its own other forms; a nickname explained in two ways is explained in none;
@@ -26,6 +26,7 @@ from __future__ import annotations
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 import regex
@@ -34,11 +35,10 @@ from pyspark.sql import functions as F
 
 from citeloom.operators.graph import connected
 from citeloom.operators.split_values import GROUP, MISSING_MARKERS, split_values
-from citeloom.session import bounded_rows, checkpointed
+from citeloom.session import checkpointed
 
 SEGMENTS = 3
 MIN_TYPO = 5  # shorter surnames need equal given names
-MAX_LIST = 100_000  # rows of a list of usual spellings that may be sent to every worker
 
 # Common short forms of given names.
 NICKNAMES = {
@@ -127,10 +127,10 @@ def _forms(given: str) -> list[list[str]]:
 
 
 def nickname_in(name: str) -> str:
-    """The nickname that a name explains itself, as in Charles "Chaz" Gray; empty if none."""
+    """The nickname that a name explains itself, as in Guillermo "Memo" Gray; empty if none, or one of the table."""
     m = NICK.search(name) if " " in name.strip() else None
     words = regex.findall(r"\p{L}+", fold(m.group())) if m else []
-    return words[0] if len(words) == 1 and len(words[0]) > 1 else ""
+    return words[0] if len(words) == 1 and len(words[0]) > 1 and words[0] not in FORMAL else ""
 
 
 Near = set[tuple[str, str]]
@@ -226,113 +226,28 @@ def segment_join(words: DataFrame, scope: list[str], word: str = "word") -> Data
     return near.select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _roots(pairs: DataFrame, word: str) -> DataFrame:
-    """(p, word, canon): each word of a pair (p, a, b) with the least word of its component; p has no line break."""
-    key = lambda c: F.concat_ws("\n", "p", c)
+def _roots(pairs: DataFrame) -> DataFrame:
+    """(kind, p, token, canon): each word of a pair (kind, p, a, b) with the least word of its component; words and kinds have no line break."""
+    key = lambda c: F.concat_ws("\n", "kind", "p", c)
     roots = connected(pairs.select(key("a").alias("a"), key("b").alias("b")))
-    part = lambda c, i: F.element_at(F.split(c, "\n"), i)
-    return roots.select(F.regexp_replace("node", r"\n[^\n]*$", "").alias("p"), part("node", -1).alias(word), part("root", -1).alias("canon"))
-
-
-class JournalList:
-    """Usual spellings, with an inverted index of the segments of their words."""
-
-    STOP = frozenset("of and the for on in fo ofr adn und der et la de".split())
-
-    def __init__(self, rows: Iterable[tuple[int, str]]):
-        self.entries, self.words, self.acronyms, self.squeezed = {}, defaultdict(set), defaultdict(set), {}
-        self.segments, self.whole = defaultdict(set), defaultdict(set)
-        for key, name in rows:
-            tokens = self.tokens(name)
-            self.entries[key] = tokens
-            for i, w in enumerate(tokens):
-                self.words[w].add((key, i))
-                for at in self._cut(w):
-                    self.segments[at].add(w)
-            self.acronyms["".join(w[0] for w in tokens)].add(key)
-            text = "".join(self._plain(name))
-            self.squeezed[text] = key
-            for at in self._cut(text):
-                self.whole[at].add(text)
-        self.prefixes = defaultdict(set)
-        for w in self.words:
-            for n in range(1, len(w)):
-                self.prefixes[w[:n]].add(w)
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def _cut(w: str) -> list[tuple[int, int, str]]:
-        n = len(w)
-        return [(n, i, w[n * i // SEGMENTS : n * (i + 1) // SEGMENTS]) for i in range(SEGMENTS)] if n >= MIN_TYPO else []
-
-    @staticmethod
-    def _near(w: str, index: dict) -> set[str]:
-        out: set[str] = set()
-        for n in (len(w) - 1, len(w), len(w) + 1):
-            if n < MIN_TYPO:
-                continue
-            for i in range(SEGMENTS):
-                a, b = n * i // SEGMENTS, n * (i + 1) // SEGMENTS
-                for shift in {0, len(w) - n}:
-                    if a + shift >= 0:
-                        out |= {x for x in index.get((n, i, w[a + shift : b + shift]), ()) if within_one(w, x)}
-        return out
-
-    @staticmethod
-    def _plain(name: str) -> list[str]:
-        s = regex.sub(r"\((?:online|print|electronic|web)[^)]*\)|\[(?:online|print)\]", " ", fold(name))
-        if "," in s:
-            head, _, tail = s.rpartition(",")
-            if regex.fullmatch(r"\s*(?:the\s+)?[\p{L}.]+(?:\s+[\p{L}.]+){0,2}\s+(?:of|on|in|for)?\s*", tail) or regex.fullmatch(r"\s*[\p{L}. ]+\b(?:of|on|in|for)\s*", tail):
-                s = f"{tail} {head}"
-        s = regex.sub(r"^\s*the\s+", "", s)
-        return regex.findall(r"[\p{L}\p{N}]+", s)
-
-    def tokens(self, name: str) -> list[str]:
-        return [w for w in self._plain(name) if w not in self.STOP]
-
-    def find(self, name: str) -> tuple[int, ...]:
-        """Keys of the list that the spelling may mean; none, one, or several for an acronym."""
-        if name not in self.cache:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[name] = self._find(name)
-        return self.cache[name]
-
-    def _find(self, name: str) -> tuple[int, ...]:
-        tokens = self.tokens(name)
-        if not tokens:
-            return ()
-        score: dict[int, int] | None = None
-        for i, t in enumerate(tokens):
-            here: dict[int, int] = {}
-            matches = [(w, 0) for w in ([t] if t in self.words else [])] + [(w, 1) for w in self.prefixes.get(t, ())]
-            if len(t) >= MIN_TYPO - 1:
-                matches += [(w, 1) for w in self._near(t, self.segments)]
-            if len(t) == 1:  # a series letter must be itself; a single letter may also shorten a word
-                matches = [(w, c) for w, c in matches if w == t or len(w) > 1]
-            for w, c in matches:
-                for key, at in self.words[w]:
-                    if at == i and len(self.entries[key]) == len(tokens) and (score is None or key in score):
-                        here[key] = min(here.get(key, 9), c)
-            score = {k: c + (score or {}).get(k, 0) for k, c in here.items()}
-            if not score:
-                break
-        if score:
-            low = min(score.values())
-            best = tuple(sorted(k for k, c in score.items() if c == low))
-            if len(best) == 1:
-                return best
-        if len(tokens) == 1 and 2 <= len(tokens[0]) <= 6 and (acronym := self.acronyms.get(tokens[0])):
-            return tuple(sorted(acronym))
-        text = "".join(self._plain(name))
-        if len(self.entries) and len(tokens[-1]) > 1:
-            if text in self.squeezed:
-                return (self.squeezed[text],)
-            near = {self.squeezed[x] for x in self._near(text, self.whole)}
-            if len(near) == 1:
-                return tuple(near)
-        return best if score else ()
+    last = lambda c: F.regexp_extract(c, r"([^\n]*)$", 1)
+    return roots.select(F.regexp_extract("node", r"^([^\n]*)\n", 1).alias("kind"), F.regexp_extract("node", r"(?s)^[^\n]*\n(.*)\n[^\n]*$", 1).alias("p"), last("node").alias("token"), last("root").alias("canon"))
+
+
+# Words of journal names that are often left out.
+STOP = frozenset("of and the for on in fo ofr adn und der et la de".split())
+
+
+def journal_words(name: str) -> list[str]:
+    """The words of a journal's name in their order, without notes on the edition and a leading article; what stands behind a comma
+    goes to the front where it ends in a preposition."""
+    s = regex.sub(r"\((?:online|print|electronic|web)[^)]*\)|\[(?:online|print)\]", " ", fold(name))
+    if "," in s:
+        head, _, tail = s.rpartition(",")
+        if regex.fullmatch(r"\s*(?:the\s+)?[\p{L}.]+(?:\s+[\p{L}.]+){0,2}\s+(?:of|on|in|for)?\s*", tail) or regex.fullmatch(r"\s*[\p{L}. ]+\b(?:of|on|in|for)\s*", tail):
+            s = f"{tail} {head}"
+    s = regex.sub(r"^\s*the\s+", "", s)
+    return regex.findall(r"[\p{L}\p{N}]+", s)
 
 
 def _letter(given):
@@ -341,29 +256,26 @@ def _letter(given):
 
 def surname_links(forms: DataFrame) -> DataFrame:
     """(p, a, b): surnames of a profile that are one error apart and, by the given names, mean the same."""
+    short = F.length("token") < MIN_TYPO
+    # long ones within the profile; short ones, and those across the border of length, only beside equal given names
+    alone = forms.where(~short).select("p", F.lit("").alias("g"), "token")
+    beside = forms.where((F.length("token") <= MIN_TYPO) & F.col("given").rlike(r"(?:^| )=?\p{L}{2}")).select("p", F.col("given").alias("g"), "token")
+    pairs = checkpointed(segment_join(alone.unionByName(beside), ["p", "g"], "token"))
+    sure = pairs.where((F.col("g") != "") & (F.least(F.length("a"), F.length("b")) < MIN_TYPO)).select("p", "a", "b")
+    # all people of one spelling must be people of the other
+    pairs = pairs.where("g = ''").select("p", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("p", "e.*")
     first = F.regexp_replace(F.element_at(F.split("given", " "), 1), "^=", "")
-    f = forms.select("p", "token", _letter("given").alias("i"), F.when(~first.startswith(".") & (first != ""), first).alias("f"), "n")
-    long = segment_join(f.where(F.length("token") >= MIN_TYPO), ["p"], "token")
-    full = forms.where(F.col("given").rlike(r"(?:^| )=?\p{L}{2}"))
-    short = segment_join(full.where(F.length("token") < MIN_TYPO), ["p", "given"], "token").select("p", "a", "b")
-    # pairs across the border of length
-    across = segment_join(full.where(F.length("token").isin(MIN_TYPO - 1, MIN_TYPO)), ["p", "given"], "token").where(F.length("a") != F.length("b")).select("p", "a", "b")
-    uses = f.groupBy("p", "token").agg(F.sum("n").alias("n"))
-    pairs = long.join(uses.withColumnRenamed("token", "a"), ["p", "a"]).join(uses.select("p", F.col("token").alias("b"), F.col("n").alias("n2")), ["p", "b"])
-    rare = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("a") > F.col("b")))
-    pairs = pairs.select("p", F.when(rare, F.col("a")).otherwise(F.col("b")).alias("t1"), F.when(rare, F.col("b")).otherwise(F.col("a")).alias("t2"))
-    # every person of the rarer spelling must be one of the other
-    mine = f.select("p", F.col("token").alias("t1"), "i", "f").distinct()
-    theirs = f.groupBy("p", F.col("token").alias("t2"), "i").agg(F.collect_set("f").alias("fs"), F.max(F.col("f").isNull()).alias("initial"))
-    seen = pairs.join(mine, ["p", "t1"]).join(theirs, ["p", "t2", "i"], "left")
-    near = lambda x: (x == F.col("f")) | ((F.levenshtein(x, "f", 2).between(0, 2)) & (F.length("f") > 3) & (F.length(x) > 2))
-    fits = F.when(F.col("fs").isNull(), False).when(F.col("f").isNull() | (F.size("fs") == 0), True).otherwise(F.exists("fs", near))
-    agreed = seen.groupBy("p", "t1", "t2").agg(F.min(fits).alias("ok")).where("ok").select("p", F.col("t1").alias("a"), F.col("t2").alias("b"))
-    return agreed.unionByName(short).unionByName(across)
-
-
-def person_classes(rows: DataFrame, profile: str, authors: str) -> DataFrame:
-    """(p, field, c, name): the spellings of the people on each profile, c being the person."""
+    people_of = forms.select("p", "token", _letter("given").alias("i"), F.when(~first.startswith(".") & (first != ""), first).alias("f")).groupBy("p", "token", "i").agg(F.collect_set("f").alias("fs"), F.max(F.col("f").isNull()).alias("initial"))
+    mine, theirs = people_of.select("p", F.col("token").alias("x"), "i", "fs", "initial"), people_of.select("p", F.col("token").alias("y"), "i", F.col("fs").alias("gs"))
+    seen = pairs.join(mine, ["p", "x"]).join(theirs, ["p", "y", "i"], "left")
+    near = lambda x, f: (x == f) | ((F.levenshtein(x, f, 2).between(0, 2)) & (F.length(f) > 3) & (F.length(x) > 2))
+    fits = F.when(F.col("gs").isNull(), False).when(F.size("gs") == 0, True).otherwise(F.forall("fs", lambda f: F.exists("gs", lambda x: near(x, f))))
+    agreed = seen.groupBy("p", "x", "y").agg(F.min(fits).alias("ok")).where("ok").select("p", F.col("x").alias("a"), F.col("y").alias("b"))
+    return agreed.unionByName(sure)
+
+
+def person_forms(rows: DataFrame, profile: str, authors: str) -> DataFrame:
+    """(p, name, n, token, given): the names on each profile in every order in which they can be read."""
     items = split_values(rows.where(F.col(profile).isNotNull()), authors, [profile], "name", "_no").select(F.col(profile).alias("p"), "name")
     names = items.groupBy("p", "name").agg(F.count("*").alias("n"))
 
@@ -375,13 +287,18 @@ def person_classes(rows: DataFrame, profile: str, authors: str) -> DataFrame:
     forms = checkpointed(names.mapInPandas(parse, "p string, name string, n long, token string, given string, nick string"))
     # nicknames that a name explains stand for the given name wherever the profile has them with that surname
     head = F.element_at(F.split("given", " "), 1)
-    told = forms.where("nick <> ''").select("p", "token", "nick", head.alias("f")).where(F.col("f").rlike(r"^\p{L}{2}"))
-    told = told.groupBy("p", "token", "nick").agg(F.min("f").alias("f"), F.max("f").alias("g")).where("f = g and f <> nick").drop("g")
-    forms = forms.withColumn("head", head).drop("nick").join(told.withColumnRenamed("nick", "head"), ["p", "token", "head"], "left")
+    told = forms.where("nick <> ''").select("p", "token", F.col("nick").alias("head"), head.alias("f")).where(F.col("f").rlike(r"^\p{L}{2}"))
+    told = told.groupBy("p", "token", "head").agg(F.min("f").alias("f"), F.max("f").alias("g")).where("f = g and f <> head").drop("g")
+    forms = forms.drop("nick")
+    if told.isEmpty():
+        return forms
+    both = forms.withColumn("head", head).join(told, ["p", "token", "head"], "left")
     given = F.when(F.col("f").isNotNull(), F.concat("f", F.substr("given", F.length("head") + 1))).otherwise(F.col("given"))
-    forms = forms.select("p", "name", "n", "token", given.alias("given"))
+    return checkpointed(both.select("p", "name", "n", "token", given.alias("given")))
+
 
-    canon = _roots(surname_links(forms), "token")
+def person_classes(forms: DataFrame, canon: DataFrame) -> DataFrame:
+    """(p, field, c, name): the spellings of the people on each profile, c being the person; canon: surnames (p, token, canon)."""
     keyed = forms.join(canon, ["p", "token"], "left").select("p", F.coalesce("canon", "token").alias("s"), _letter("given").alias("i"), "name", "given", "n")
     keyed = checkpointed(keyed)
     # names have different forms of which a person has few; only these and the pairs of words one error apart go through Python
@@ -419,36 +336,86 @@ def person_classes(rows: DataFrame, profile: str, authors: str) -> DataFrame:
     return members.select("p", F.lit("authors").alias("field"), F.concat_ws("\n", "s", "i", "person").alias("c"), "name").distinct()
 
 
-def journal_classes(rows: DataFrame, profile: str, journal: str, usual: DataFrame) -> DataFrame:
-    """(p, field, c, name): the spellings of the journals on each profile, c being the journal; usual: (key, name)."""
-    listed = [(r[0], r[1]) for r in bounded_rows(usual, MAX_LIST, "list of usual spellings") if r[1]]
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(listed)
-    trimmed = F.regexp_replace(F.col(journal), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    names = rows.where(F.col(profile).isNotNull() & F.col(journal).isNotNull() & ~F.col(journal).isin(*MISSING_MARKERS)).select(F.col(profile).alias("p"), trimmed.alias("name")).where("name <> ''")
-    names = names.groupBy("p", "name").agg(F.count("*").alias("n"))
+def _parsed(names: DataFrame, key: str) -> DataFrame:
+    """(key, name, tokens, text, letters): words without stop words, all words in one, and all letters in one."""
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = JournalList(shared.value)
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [known.find(n) for n in b["name"]]
-            raw = [regex.sub(r"[^\p{L}\p{N}]", "", fold(n)) for n in b["name"]]
-            yield b.assign(keys=[[str(x) for x in k] for k in keys], token=raw)
+            words = [journal_words(n) for n in b["name"]]
+            yield b.assign(tokens=[[w for w in ws if w not in STOP] for ws in words], text=["".join(ws) for ws in words], letters=[regex.sub(r"[^\p{L}\p{N}]", "", fold(n)) for n in b["name"]])
 
-    found = checkpointed(names.mapInPandas(match, "p string, name string, n long, keys array<string>, token string"))
+    return names.select(F.col(key).cast("string").alias("key"), "name").mapInPandas(parse, "key string, name string, tokens array<string>, text string, letters string")
+
+
+def listed_journals(names: DataFrame, usual: DataFrame) -> DataFrame:
+    """(name, keys, letters): the journals of a list that each spelling may mean; none, one, or several for an acronym.
+
+    names: (name), distinct. usual: (key, name). Word by word a spelling must have as many words as the journal, each being that
+    word, a shortened form of it, or one error away by the segment index; the journal with fewest changes is meant. Otherwise an
+    acronym, or all words in one with at most one error. Neither table has to be small.
+    """
+    spelled = checkpointed(_parsed(names.withColumn("_k", F.lit("")), "_k").drop("key"))
+    known = checkpointed(_parsed(usual.where("name is not null").select(F.col(usual.columns[0]).alias("_k"), "name"), "_k").where(F.size("tokens") > 0))
+    tok = spelled.select("name", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "t"))
+    word = known.select("key", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "w"))
+    ts, ws = tok.select("t").distinct(), word.select("w").distinct()
+    short = ws.select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("m")).where("m >= 1 and m < length(w)").select(F.expr("left(w, m)").alias("t"), "w").join(ts, "t")
+    squeezed = known.groupBy("text").agg(F.max("key").alias("key"))
+    whole = spelled.where((F.size("tokens") > 0) & (F.length(F.try_element_at("tokens", F.lit(-1))) > 1)).select("name", "text")
+    looked = [(0, ts.where(F.length("t") >= MIN_TYPO - 1)), (0, ws.where(F.length("w") >= MIN_TYPO)), (1, whole.select("text").where(F.length("text") >= MIN_TYPO)), (1, squeezed.select("text").where(F.length("text") >= MIN_TYPO))]
+    errors = checkpointed(segment_join(reduce(DataFrame.union, [d.select(F.lit(k).alias("whole"), F.col(d.columns[0]).alias("word")) for k, d in looked]), ["whole"]))
+    errors = errors.select("whole", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("whole", "e.*")
+    near = errors.where("whole = 0").select(F.col("x").alias("t"), F.col("y").alias("w")).where(F.length("w") >= MIN_TYPO).join(ts, "t").join(ws, "w")
+    match = ts.select("t", F.col("t").alias("w"), F.lit(0).alias("cost")).join(ws, "w").select("t", "w", "cost")
+    match = match.union(short.select("t", "w", F.lit(1))).union(near.select("t", "w", F.lit(1))).groupBy("t", "w").agg(F.min("cost").alias("cost"))
+    fits = tok.join(match, "t").join(word, ["w", "i", "n"]).groupBy("name", "key", "n", "i").agg(F.min("cost").alias("cost"))
+    fits = fits.groupBy("name", "key", "n").agg(F.count("*").alias("k"), F.sum("cost").alias("cost")).where("k = n")
+    least = fits.groupBy("name").agg(F.min("cost").alias("cost"))
+    by_words = checkpointed(fits.join(least, ["name", "cost"]).groupBy("name").agg(F.array_sort(F.collect_set("key")).alias("by_words")))
+    first = F.array_join(F.transform("tokens", lambda w: F.left(w, F.lit(1))), "")
+    acronyms = known.groupBy(first.alias("t")).agg(F.array_sort(F.collect_set("key")).alias("by_letters"))
+    one = spelled.where(F.size("tokens") == 1).select("name", F.col("tokens")[0].alias("t")).where(F.length("t").between(2, 6)).join(acronyms, "t").select("name", "by_letters")
+    equal = whole.join(squeezed, "text").select("name", F.array("key").alias("by_text"))
+    texts = errors.where("whole = 1").select(F.col("x").alias("text"), F.col("y").alias("as")).join(squeezed.withColumnRenamed("text", "as"), "as")
+    almost = whole.join(texts, "text").groupBy("name").agg(F.array_sort(F.collect_set("key")).alias("by_error")).where(F.size("by_error") == 1)
+    out = spelled.select("name", "letters")
+    for t in (by_words, one, equal, almost):
+        out = out.join(t, "name", "left")
+    found = F.when(F.size("by_words") == 1, F.col("by_words")).otherwise(F.coalesce("by_letters", "by_text", "by_error", "by_words", F.array().cast("array<string>")))
+    return out.select("name", found.alias("keys"), "letters")
+
+
+def journal_names(rows: DataFrame, profile: str, journal: str, usual: DataFrame) -> DataFrame:
+    """(p, name, keys, letters): the spellings of journals on each profile with the listed journals that they may mean; usual: (key, name)."""
+    trimmed = F.regexp_replace(F.col(journal), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    names = rows.where(F.col(profile).isNotNull() & F.col(journal).isNotNull() & ~F.col(journal).isin(*MISSING_MARKERS)).select(F.col(profile).alias("p"), trimmed.alias("name")).where("name <> ''").distinct()
+    names = checkpointed(names)
+    return checkpointed(names.join(listed_journals(names.select("name").distinct(), usual), "name"))
+
+
+def journal_classes(found: DataFrame, canon: DataFrame) -> DataFrame:
+    """(p, field, c, name): the spellings of the journals on each profile, c being the journal; canon: letters (p, token, canon)."""
     sure = found.where(F.size("keys") == 1).select("p", "name", F.concat(F.lit("#"), F.col("keys")[0]).alias("c"))
     # an acronym of several journals means the one that is on the profile
     seen = sure.select("p", "c").distinct()
     maybe = found.where(F.size("keys") > 1).select("p", "name", F.explode("keys").alias("k")).select("p", "name", F.concat(F.lit("#"), "k").alias("c")).join(seen, ["p", "c"])
     maybe = maybe.groupBy("p", "name").agg(F.min("c").alias("c"), F.count("*").alias("m")).where("m = 1").select("p", "name", "c")
-    loose = found.where(F.size("keys") == 0).where("token <> ''").select("p", "name", "token")
-    links = _roots(segment_join(loose.where(F.length("token") >= MIN_TYPO), ["p"], "token"), "token")
-    other = loose.join(links, ["p", "token"], "left").select("p", "name", F.coalesce("canon", "token").alias("c"))
+    other = _unlisted(found).join(canon, ["p", "token"], "left").select("p", "name", F.coalesce("canon", "token").alias("c"))
     return sure.unionByName(maybe).unionByName(other).select("p", F.lit("journal").alias("field"), "c", "name")
 
 
+def _unlisted(found: DataFrame) -> DataFrame:
+    return found.where(F.size("keys") == 0).where("letters <> ''").select("p", "name", F.col("letters").alias("token"))
+
+
 def name_members(rows: DataFrame, usual_journals: DataFrame, profile: str, authors: str, journal: str) -> DataFrame:
-    return person_classes(rows, profile, authors).unionByName(journal_classes(rows, profile, journal, usual_journals))
+    """(p, field, c, name): the members of all classes."""
+    forms, found = person_forms(rows, profile, authors), journal_names(rows, profile, journal, usual_journals)
+    letters = segment_join(_unlisted(found).where(F.length("token") >= MIN_TYPO), ["p"], "token")
+    links = surname_links(forms).withColumn("kind", F.lit("authors")).unionByName(letters.withColumn("kind", F.lit("journal")))
+    canon = checkpointed(_roots(links))
+    of = lambda kind: canon.where(F.col("kind") == kind).drop("kind")
+    return person_classes(forms, of("authors")).unionByName(journal_classes(found, of("journal")))
 
 
 def name_variants(rows: DataFrame, usual_journals: DataFrame, profile: str = "scrap_auth_id", authors: str = "authors", journal: str = "journal") -> DataFrame:
