@@ -79,6 +79,19 @@ def test_people_ambiguous_and_dirty(spark):
     assert linked(spark, []) == []
 
 
+def test_names_of_any_shape(spark):
+    """Very long names, names without letters, names with line breaks, and one profile with most of the rows; nothing is lost."""
+    long = "Eva " + "Gray" * 20_000
+    odd = [(None, None, None), ("p", "", ""), ("p", "—", "—"), ("p", long, long), ("p", long + "s", long + "s"), ("p", "Jun\nLi; J. Li", "A\nB"), ("q\nr", "Jun Li; Jun Lu", "Optics X"), ("q\nr", "Jun  Li", "Optics  X")]
+    many = [("hot", f"{g} Brand{c}{d}vic", f"Letters {c}{d}") for g in ("Wei", "W.", "Wei T.", "Noor") for c in "klmnprst" for d in "aeiou"] * 3
+    got = linked(spark, [], odd + many)
+    assert len(got) == len(set(got)) and all(a < b for *_, a, b in got)
+    assert {(f, a, b) for p, f, a, b in got if p == "p" and len(a) > 1000} == {("authors", long, long + "s"), ("journal", long, long + "s")}
+    assert ("q\nr", "authors", "Jun  Li", "Jun Li") in got and ("q\nr", "journal", "Optics  X", "Optics X") in got
+    hot = {(a, b) for p, f, a, b in got if p == "hot" and f == "authors"}
+    assert all(tuple(sorted((f"{x} Brand{c}{d}vic", f"{y} Brand{c}{d}vic"))) in hot for x, y in (("Wei", "W."), ("Wei", "Wei T."), ("W.", "Wei T.")) for c in "klmnprst" for d in "aeiou")
+
+
 def test_journals(spark):
     names = ["Journal of Thin Films", "J. Thin Films", "Jurnal of Thin Films (Online)", "Thin Films, Journal of", "JOURNAL OF THIN FILMS -", "Thin Films A", "Thin Films B", "thin films a.", "JTF", "Obscure Letters", "obscure letters.", "NA", None]
     got = linked(spark, [], [("q", None, n) for n in names])
