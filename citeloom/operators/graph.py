@@ -70,15 +70,14 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))
     # (larger, smaller) end of each edge
     tree = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.explode(both).alias("e")).select("e.*").where("a > b").distinct())
-    last = None
     while True:
+        # done where nodes have one smaller neighbour at most and those that have one are no one's smaller neighbour
+        ends = tree.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(tree.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
+            return tree.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(tree.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         two = tree.unionByName(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = two.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = two.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         tree = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = tree.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            return tree.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(tree.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        last = now
