@@ -15,6 +15,5 @@ def spark():
 
     s = get_spark(4, "4g")
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.sql.shuffle.partitions", "3")  # small tables; many of the operators have many stages
     yield s
     s.stop()
